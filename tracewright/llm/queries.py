@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.balance import cube_sample
+from tracewright.llm.copies import collapse_copies, copy_groups, sample_items
 from tracewright.llm.runs import field_runs, step_runs
-from tracewright.session import table
+from tracewright.llm.splits import assign_splits, recording_components
+from tracewright.llm.text import label_key
+from tracewright.session import materialize, table
+
+SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +38,43 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of the step log after collapsing: count and duration of each run."""
     return step_runs(table(spark, sf_dir, "steps")).select("traj_id", "first_pos", "last_pos", "n", "seconds", F.col("event.kind").alias("kind"))
+
+
+@_add
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each training row that copies one with a smaller id, but for the way it is written."""
+    return copy_groups(table(spark, sf_dir, "example_train_rl"), "row_id", sample_items()).where("row_id <> first_row_id")
+
+
+@_add
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record once, with the number of its copies."""
+    return collapse_copies(table(spark, sf_dir, "example_train_rl"), "row_id", sample_items())
+
+
+@_add
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each training row whose recording occurs under a smaller id."""
+    found = recording_components(table(spark, sf_dir, "example_train_rl"), "row_id")
+    return found.where("row_id <> component").select(F.col("component").alias("first_row_id"), "row_id")
+
+
+@_add
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80/10/10 splits by recording, question types spread evenly."""
+    rows = table(spark, sf_dir, "example_train_rl")
+    return assign_splits(rows, "row_id", materialize(recording_components(rows, "row_id"), "comp"), label_key(F.col("question_type")), SPLIT_SHARES)
+
+
+@_add
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that a fifth of the training rows cannot meet, from the reports of the three samples."""
+    return p6_report(spark, sf_dir).where("short").select("field_name", "category")
+
+
+@_add
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available, wanted and drawn rows of every target."""
+    rows, targets = table(spark, sf_dir, "example_train_rl"), table(spark, sf_dir, "category_targets")
+    reports = [cube_sample(rows, "row_id", field, targets)[1] for field in ("question_type", "data_source", "ability")]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Private-use characters standing for a decimal point, a sign and a boundary between digit groups.
-_POINT, _MINUS, _GAP = "", "", ""
+_POINT, _MINUS, _GAP = "\ue101", "\ue102", "\ue103"
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _ASCII = "".join(chr(0x21 + i) for i in range(94))
 _NOT_ALNUM = r"[^\p{L}\p{N}" + _POINT + _MINUS + _GAP + "]"
