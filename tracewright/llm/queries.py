@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.balance import cube_sample
 from tracewright.llm.copies import collapse_copies, copy_groups, sample_items
+from tracewright.llm.overlap import cross_split_overlaps
 from tracewright.llm.runs import field_runs, step_runs
 from tracewright.llm.splits import assign_splits, recording_components
 from tracewright.llm.text import label_key
@@ -78,3 +79,17 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, targets = table(spark, sf_dir, "example_train_rl"), table(spark, sf_dir, "category_targets")
     reports = [cube_sample(rows, "row_id", field, targets)[1] for field in ("question_type", "data_source", "ability")]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+@_add
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation samples that occur, exactly or almost, among the training rows."""
+    return cross_split_overlaps(table(spark, sf_dir, "example_eval"), table(spark, sf_dir, "example_train_rl")).select("eval_id", "row_id")
+
+
+@_add
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and training source."""
+    found = cross_split_overlaps(table(spark, sf_dir, "example_eval"), table(spark, sf_dir, "example_train_rl"))
+    per = found.groupBy("split", label_key(F.col("source")).alias("source"))
+    return per.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("eval_samples"), F.countDistinct("row_id").alias("train_rows"))
