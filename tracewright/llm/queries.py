@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.balance import cube_sample
 from tracewright.llm.copies import collapse_copies, copy_groups, sample_items
+from tracewright.llm.mixing import mix
 from tracewright.llm.overlap import cross_split_overlaps
+from tracewright.llm.packing import pack
 from tracewright.llm.runs import field_runs, step_runs
 from tracewright.llm.splits import assign_splits, recording_components
 from tracewright.llm.text import label_key
@@ -93,3 +95,35 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cross_split_overlaps(table(spark, sf_dir, "example_eval"), table(spark, sf_dir, "example_train_rl"))
     per = found.groupBy("split", label_key(F.col("source")).alias("source"))
     return per.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("eval_samples"), F.countDistinct("row_id").alias("train_rows"))
+
+
+@_add
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are larger than a container, from the packing of all documents."""
+    packed = pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packed.where("pieces > 1").groupBy("doc_id").agg(F.max("pieces").alias("pieces")).select("doc_id")
+
+
+@_add
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers with their number of pieces and unused tokens."""
+    packed = pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packed.groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), (F.lit(2048) - F.sum("tokens")).alias("unused"))
+
+
+@_add
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose records cannot reach their weight within their repeats, from the report of the mix."""
+    return p8_report(spark, sf_dir).where("short").select("source")
+
+
+@_add
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted, given and actual tokens and shares of every source of the mix."""
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_targets"))[1]
+
+
+@_add
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mix with the number of times each is used."""
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_targets"))[0]
