@@ -48,9 +48,9 @@ def copy_groups(df: DataFrame, row_id: str, items: Column) -> DataFrame:
 
     Repeated row ids count as copies of each other. Empty tables give no rows; other columns of ``df`` are not read.
     """
-    # nulls never form groups
-    rows = df.select(F.col(row_id).alias("row_id"), items.alias("items")).where(F.col("items").isNotNull() & F.col("row_id").isNotNull())
-    rows = rows.withColumns({"h1": multiset_hash(F.col("items"), 1), "h2": multiset_hash(F.col("items"), 2)})
+    # items are made once and kept: normal forms cost more than reading them again
+    made = materialize(df.select(F.col(row_id).alias("row_id"), items.alias("items")), "items")
+    rows = made.where(F.col("items").isNotNull() & F.col("row_id").isNotNull()).withColumns({"h1": multiset_hash(F.col("items"), 1), "h2": multiset_hash(F.col("items"), 2)})
     counts = rows.groupBy("h1", "h2").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n"))
     groups = materialize(counts, "copies")
     total = groups.agg(F.sum("n")).first()[0] or 0
