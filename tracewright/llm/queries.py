@@ -12,6 +12,7 @@ from tracewright.llm.copies import collapse_copies, copy_groups, sample_items
 from tracewright.llm.mixing import mix
 from tracewright.llm.overlap import cross_split_overlaps
 from tracewright.llm.packing import pack
+from tracewright.llm.pii import find_pii, mask_pii
 from tracewright.llm.runs import field_runs, step_runs
 from tracewright.llm.splits import assign_splits, recording_components
 from tracewright.llm.text import label_key
@@ -127,3 +128,15 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the mix with the number of times each is used."""
     return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_targets"))[0]
+
+
+@_add
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every e-mail address, phone number, identity number, street address and name in the documents."""
+    return find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "kind", "start_pos", "end_pos")
+
+
+@_add
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return mask_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
