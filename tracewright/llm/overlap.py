@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.fmindex import FmIndex
 from tracewright.llm.text import recording_key
+from tracewright.session import materialize
 
 SHARD_ROWS = 3000
 TRAIN_ROWS = 100_000
@@ -188,7 +189,8 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, threshold: float =
     """
     ev = evals.select(F.col("eval_id").cast("long").alias("eval_id"), F.col("split").cast("string").alias("split"), recording_key(F.col("video")).alias("rec"), F.col("question").alias("q"))
     tr = train.select(F.col("row_id").cast("long").alias("row_id"), F.col("data_source").cast("string").alias("source"), recording_key(F.col("video")).alias("rec"), F.col("question").alias("q"))
-    ev, tr = (x.where(F.col("rec").isNotNull() & F.col("q").rlike(r"[\p{L}\p{N}]")) for x in (ev, tr))
+    # keys are made once and kept: counting them and sharding by them both read them again
+    ev, tr = (materialize(x.where(F.col("q").rlike(r"[\p{L}\p{N}]")), "keys").where(F.col("rec").isNotNull()) for x in (ev, tr))
     n_e, n_t = ev.count(), tr.count()
     shards = max(1, -(-n_e // SHARD_ROWS))
     hot_e, hot_t = _hot(ev, n_e, SHARD_ROWS, "blocks"), _hot(tr, n_t, TRAIN_ROWS, "salts")
