@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,6 +96,7 @@ def segments(norm: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=2)
 def train(rows: int = LABELLED_ROWS, seed: int = 17) -> Crf:
     """The field, trained from at most ``rows`` labelled sentences."""
     crf = Crf(KINDS, unit_features)
