@@ -254,7 +254,7 @@ def q_logits(spark, d):
 
 
 _COLS = ["reward", "value", "mask"]
-_GAE = """, RECURSIVE_MARK x AS (SELECT row_id, pos, r, v, m, CAST(0 AS DOUBLE) AS nv, CAST(0 AS DOUBLE) AS gl FROM (SELECT row_id, max(pos) + 1 AS pos, 0 AS r, 0 AS v, 0 AS m FROM tok GROUP BY row_id)
+_GAE = """, RECURSIVE_MARK x AS (SELECT row_id, pos, r, v, m, CAST(0 AS DOUBLE) AS nv, CAST(0 AS DOUBLE) AS gl FROM (SELECT row_id, max(pos) + 1 AS pos, CAST(0 AS DOUBLE) AS r, CAST(0 AS DOUBLE) AS v, 0 AS m FROM tok GROUP BY row_id)
  UNION ALL SELECT t.row_id, t.pos, t.reward, t.value, t.mask, t.value * t.mask + (1 - t.mask) * x.nv, (t.reward + x.nv - t.value + 0.95 * x.gl) * t.mask + (1 - t.mask) * x.gl FROM x JOIN tok t ON t.row_id = x.row_id AND t.pos = x.pos - 1)"""
 
 
