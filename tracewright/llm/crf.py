@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
-PAD, BOS, EOS = "\x00", "\x01", "\x02"
+PAD, BOS, EOS = "\x00pad", "\x00bos", "\x00eos"
 FORBIDDEN = -1e4
 
 

@@ -23,7 +23,8 @@ from tracewright.llm.pii_labels import KINDS, LABELLED_ROWS, labelled
 SPACE_MARK, LINE_MARK = " ", "\n"
 _DIGITS = {ord(c): "0" for c in "123456789" + "".join(chr(0xFF10 + i) for i in range(10))}
 _CJK = "㐀-鿿豈-﫿぀-ヿ가-힯"
-TOKEN = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+|\d+|[^\w\s]|_")
+# A unit is a token with the white space before it, so that a text is its units one after another.
+TOKEN = re.compile(rf"\s*(?:[{_CJK}]|[^\W\d_{_CJK}]+|\d+|[^\w\s]|_)")
 _ABBREV = "ext|tel|tél|ave|apt|avda|str|nr|no|mrs|prof|blvd|bzw|usw|dña|sra|sta|ste|rd|hno|inc|dept|etc|cia"
 # A stop after a word of three small letters (no abbreviation), or a bracket or quote, before something that begins a sentence.
 CUT = re.compile(
@@ -53,8 +54,9 @@ def _shape(u: str) -> str:
 
 
 def unit_features(u: str) -> list[str]:
-    """Features of one unit: its space mark, word, shape, edges."""
-    gap, w = u[0], u[1:]
+    """Features of one unit: the gap before it, word, shape, edges."""
+    w = u.lstrip()
+    gap = LINE_MARK if "\n" in u else SPACE_MARK if len(w) < len(u) else "-"
     if not w:
         return []
     if re.match(f"[{_CJK}]", w):
@@ -70,18 +72,10 @@ def unit_features(u: str) -> list[str]:
     return out
 
 
-def tokenize(norm: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Units (with the mark of the gap before them), starts and ends of a text whose digits are 0."""
-    units, starts, ends = [], [], []
-    last = 0
-    for m in TOKEN.finditer(norm):
-        a, b = m.span()
-        gap = norm[last:a]
-        units.append((LINE_MARK if "\n" in gap else SPACE_MARK if gap or a == 0 else "-") + m.group())
-        starts.append(a)
-        ends.append(b)
-        last = b
-    return units, np.array(starts, np.int64), np.array(ends, np.int64)
+def bounds(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of units in their text."""
+    ends = np.cumsum([len(u) for u in units])
+    return ends - [len(u.lstrip()) for u in units], ends
 
 
 def segments(norm: str) -> list[tuple[int, int]]:
@@ -103,7 +97,8 @@ def train(rows: int = LABELLED_ROWS, seed: int = 17) -> Crf:
     code = {lb: i for i, lb in enumerate(crf.labels)}
     units, gold = [], []
     for text, spans in labelled(rows, seed):
-        us, a, b = tokenize(text.translate(_DIGITS))
+        us = TOKEN.findall(text.translate(_DIGITS))
+        a, b = bounds(us)
         tags = np.zeros(len(us), np.int64)
         for kind, lo, hi in spans:
             inside = np.flatnonzero((a >= lo) & (b <= hi))
@@ -123,20 +118,25 @@ def _windows(units: list[str]) -> list[tuple[int, int]]:
 
 def find_in(crf: Crf, norms: list[str]) -> list[list[tuple[str, int, int]]]:
     """Entities of digit-normal segments as ``(kind, start, end)``, fitted to their written forms."""
-    toks = [tokenize(s) for s in norms]
+    toks = [TOKEN.findall(s) for s in norms]
     pieces, owner = [], []
-    for i, (us, _, _) in enumerate(toks):
+    for i, us in enumerate(toks):
         for w in _windows(us):
             pieces.append(us[w[0] : w[1]])
             owner.append((i, w[0]))
     got = crf.decode(pieces)
-    tags = [np.zeros(len(us), np.int8) for us, _, _ in toks]
+    tags: dict[int, np.ndarray] = {}
     for (i, at), lab in zip(owner, got, strict=True):
-        skip = OVERLAP // 2 if at else 0
-        tags[i][at + skip : at + len(lab)] = lab[skip:]
-    out = []
-    for norm, (_, a, b), tag in zip(norms, toks, tags, strict=True):
-        out.append(_fit(norm, _spans(crf.labels, tag, a, b)) if tag.any() else [])
+        if at or len(lab) < len(toks[i]):
+            whole = tags.setdefault(i, np.zeros(len(toks[i]), np.int8))
+            skip = OVERLAP // 2 if at else 0
+            whole[at + skip : at + len(lab)] = lab[skip:]
+        elif lab.any():
+            tags[i] = lab
+    out: list[list[tuple[str, int, int]]] = [[] for _ in norms]
+    for i, tag in tags.items():
+        if tag.any():
+            out[i] = _fit(norms[i], _spans(crf.labels, tag, *bounds(toks[i])))
     return out
 
 
