@@ -54,7 +54,7 @@ def _rng(seed: int, ids: np.ndarray) -> np.random.Generator:
 def _fly(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["h", "row_id"], kind="stable")
     cats, _ = pd.factorize(pdf["category"], sort=True)
-    return pdf.assign(pi=flight(cats, pdf["pi"].to_numpy(), _rng(seed, pdf["row_id"].to_numpy())))
+    return pdf.astype({"category": object}).assign(pi=flight(cats, pdf["pi"].to_numpy(), _rng(seed, pdf["row_id"].to_numpy())))
 
 
 def plan_targets(rows: DataFrame, targets: DataFrame, size: int) -> DataFrame:

@@ -45,7 +45,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, targets: Dat
     never used; null and empty texts count 0 tokens; repeated rows are records of their own; an empty table gives no records.
     """
     spark = df.sparkSession
-    named = df.withColumnsRenamed({id_col: "id", text_col: "text", source_col: "src"}).select("id", label_key(F.col("src")).alias("key"), "text")
+    named = df.select(F.col(id_col).alias("id"), label_key(F.col(source_col)).alias("key"), F.col(text_col).alias("text"))
     sizes = with_row_key(materialize(token_sizes(named, "id", "text", ("key",), path), "sizes"))
     wanted = targets.select("source", label_key(F.col("source")).alias("key"), "target_weight", "max_repeats")
     listed = wanted.collect()  # one row a source of the target table

@@ -101,7 +101,8 @@ def _by_query(need: np.ndarray, q_of: np.ndarray, n: np.ndarray, most: int = 1 <
 
 def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILARITY, coverage: float = COVERAGE, coverage_places: float = COVERAGE_PLACES) -> pd.DataFrame:
     """Near-same pairs of one shard: ``(eval_id, row_id, split, source, words, similarity)``."""
-    none = pd.DataFrame({"eval_id": [], "row_id": [], "split": [], "source": [], "words": [], "similarity": []})
+    none = pd.DataFrame({"eval_id": np.zeros(0, np.int64), "row_id": np.zeros(0, np.int64), "split": np.zeros(0, object), "source": np.zeros(0, object), "words": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    none[["split", "source"]] = none[["split", "source"]].astype(object)
     tr = tr[tr["rec"].isin(set(ev["rec"]))]
     if not len(ev) or not len(tr):
         return none
@@ -173,7 +174,8 @@ def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILAR
     hit = pd.DataFrame(found, columns=["e", "t", "words", "similarity"])
     left = pd.DataFrame({"e": ids[0], "eval_id": ev["eval_id"].to_numpy(), "split": ev["split"].to_numpy()})
     right = pd.DataFrame({"t": ids[1], "row_id": tr["row_id"].to_numpy(), "source": tr["source"].to_numpy()})
-    return hit.merge(left, on="e").merge(right, on="t")[list(none.columns)]
+    out = hit.merge(left, on="e").merge(right, on="t")[list(none.columns)]
+    return out.astype({"split": object, "source": object})
 
 
 def cross_split_overlaps(evals: DataFrame, train: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -74,7 +74,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, pa
     Texts without tokens (null or empty) are pieces of size 0. Repeated rows are packed each on their own; an empty table
     gives no rows; columns other than the two named are not read.
     """
-    sizes = materialize(token_sizes(df.withColumnsRenamed({id_col: "id", text_col: "text"}).select("id", "text"), "id", "text", path=path), "sizes")
+    sizes = materialize(token_sizes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", path=path), "sizes")
     sizes = with_row_key(sizes)
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     blocks = max(1, -(-total // (capacity * windows)))
