@@ -14,6 +14,7 @@ from tracewright.llm.overlap import cross_split_overlaps
 from tracewright.llm.packing import pack
 from tracewright.llm.pii import find_pii, mask_pii
 from tracewright.llm.runs import field_runs, step_runs
+from tracewright.llm.sql import SQL as SQL
 from tracewright.llm.splits import assign_splits, recording_components
 from tracewright.llm.text import label_key
 from tracewright.session import materialize, table
@@ -21,7 +22,6 @@ from tracewright.session import materialize, table
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def _add(fn):
