@@ -40,6 +40,8 @@ _LOCAL = r"[a-z0-9](?:[\w+%-]|\.(?=[\w+%-]))*"
 EMAIL = re.compile(
     rf"{_LOCAL}{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}|{_LOCAL}(?:\sdot\s[\w+%-]+)*\sat\s[a-z0-9-]+(?:\sdot\s[a-z0-9-]+)*\sdot\s[a-z]{{2,}}", re.A | re.I
 )
+# "M." is a title, not an initial, before a first and a family name.
+_MONSIEUR = re.compile(r"M\. (?!(?:de|du|d'|von|van|le|la)\b)[^\W\d_]+ [^\W\d_]", re.I)
 PHONE = re.compile(r"(?:[+＋]|(?<![\w+])\(?)\d[\d() ./\-－]{4,}\d(?:,?\s*(?:ext|extension|x|Durchwahl|poste)\.?\s*\d{1,6})?", re.I)
 
 
@@ -178,8 +180,10 @@ def _fit(norm: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, i
             if sum(c.isdigit() for c in norm[a:b]) < 5:
                 continue
             b -= 2 * bool(re.search(r"\d{5} [A-Z]$", norm[a:b]))  # a letter that begins the next sentence
-        elif kind == "name" and any(c.isdigit() for c in norm[a:b]):
-            continue
+        elif kind == "name":
+            if any(c.isdigit() for c in norm[a:b]):
+                continue
+            a += 3 * bool(_MONSIEUR.match(norm, a, b) or norm[max(0, a - 2) : a + 3] == "à M. ")
         edge = "([{<\"'“”‘’|,;:!?。，；：、/\\ \n\t*`"
         while b > a and (norm[b - 1] in edge + ")]}>" and not (kind == "phone" and norm[b - 1] == ")") or (norm[b - 1] == "." and kind != "name")):
             b -= 1

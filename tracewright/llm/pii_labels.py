@@ -51,7 +51,7 @@ PLAIN = {
     "fr": """À l'étape {d}, l'agent demande les images de {f} à {f} secondes.|À partir de la seconde {f}, on entend ceci : la pluie tombe sur l'auvent.|Le score passe de {f} à {f}.|Sur {d} images, aucune ne montre le foulard.|Deux relecteurs hésitent sur l'humeur de la scène ; le plan dure jusqu'à {f}.|L'option B correspond le mieux à la scène.|Ensuite la passeuse avance vers l'arche de pierre et nettoie le seau.|La caméra glisse derrière le rideau, puis tout s'assombrit.|Le son n'apprend rien, sinon que quelqu'un compte tout bas.|La deuxième tentative renvoie le même extrait.|Avec plus d'indices, l'épisode aurait fini au tour {d}.|J'écarte l'option D : on ne voit jamais la violoniste.|Ne comptez que ce qui se voit à l'écran.|Le boulanger examine une caisse d'un air las.""",
     "zh": """第{d}步，智能体请求了{f}秒到{f}秒的画面。|从{f}秒开始，玻璃碎裂的声音盖过了说话声。|奖励从{f}降到{d}分，原因是动作格式错误。|第二次抽帧得到{d}张图，没有一张拍到铜鼓。|这一段视频长{f}秒，帧率为30。|两位标注员对钟楼旁边那一幕的看法不同，一位写得意。|标注员认为情绪是平静，但声音并不支持。|根据现有证据，选项B更可信。|请不要把只听到的镜子计入数量。|重试之后仍然返回同样的片段。|音频中没有人说话，只能听到远处的汽笛。|镜头切换后，渔夫离开了楼梯间。|如果守夜人想藏起木箱，就不会把它留在石拱门下。|选项D提到的烛台从未出现在温室尽头。|画面里救生员正在递出茶壶，背景有些昏暗。|厨师先擦拭镜子，然后走向楼梯间。|楼梯间的画面太暗，无法判断裁判是否紧张。|木箱被放在石拱门下，没有人注意到。""",
 }
-TITLES = {"en": "Mr.,Ms.,Mrs.,Dr.,Prof.,Miss,Sir", "de": "Herr,Frau,Dr.,Prof.,Herrn", "es": "Sr.,Sra.,Dña.,D.,Dr.,Don,Doña", "fr": "M.,Mme,Mlle,Dr,Me", "zh": ""}
+TITLES = {"en": "Mr.,Ms.,Mrs.,Dr.,Prof.,Miss,Sir", "de": "Herr,Frau,Dr.,Prof.,Herrn", "es": "Sr.,Sra.,Dña.,Dr.,Dra.,Don,Doña", "fr": "M.,Mme,Mlle,Dr,Me", "zh": ""}
 _FIRST = {
     "en": "Imogen Lilith Thessaly Corwin Wren Orin Rufus Edda Petra Maren Hester Isolde Saskia Garrick Casper Jolyon Bram Alaric Tobin Odile Mark Anna Peter Ruth Simon Clara Victor Helen Arthur Daniel Laura James Mary Robert Susan Kevin Nora Felix Grace Oscar Ivy Hugo Stella",
     "de": "Friederike Lorenz Gundula Detlef Wiebke Käthe Sönke Anselm Joachim Ilse Jürgen Bärbel Klaus Sabine Uwe Heike Ulrich Greta Jörg Ingrid",
@@ -239,7 +239,7 @@ def _render(template: str, fill: _Fill) -> tuple[str, list[tuple[str, int, int]]
 def labelled(rows: int = LABELLED_ROWS, seed: int = 17) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """At most ``rows`` labelled texts: an entity context, often with plain sentences before and after, with or without a stop between."""
     rng = random.Random(seed)
-    langs = ["en"] * 10 + ["de"] * 3 + ["es"] * 3 + ["fr"] * 3 + ["zh"] * 4
+    langs = ["en"] * 10 + ["de"] * 4 + ["es"] * 4 + ["fr"] * 4 + ["zh"] * 4
     contexts, plain = {k: _split(v) + _split(ANYWHERE) for k, v in CONTEXTS.items()}, {k: _split(v) for k, v in PLAIN.items()}
     out = []
     for _ in range(rows):
