@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,21 +44,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and the plan stays columnar."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tw-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has written into the shared folder; frames that read them end with that."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
-
-def hot_keys(df: DataFrame, key: str, share: float = 0.002) -> list:
-    """Keys that hold more than ``share`` of the rows of ``df``: at most ``1/share`` values by construction."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1000, int(total * share))
-    return [r[0] for r in counts.where(F.col("n") > least).select(key).collect()]
