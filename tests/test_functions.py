@@ -101,3 +101,19 @@ def test_dispatch(spark):
     assert [r[0] for r in df.select(S.dispatch(F.col("s"), F.col("t"), F.col("g"))).collect()] == [1.0, 1.0]
     with pytest.raises((PySparkException, Py4JJavaError)):
         df.select(S.dispatch(F.lit("nope"), F.col("t"), F.col("g"))).collect()
+
+
+def test_small_functions(spark):
+    df = spark.sql(
+        "SELECT array(named_struct('title', 'T', 'text', 'x')) AS d, array(named_struct('role', 'assistant', 'n_tokens', 2), named_struct('role', 'user', 'n_tokens', 1)) AS m,"
+        " array(named_struct('role', 'user', 'content', '[NOTICE] old'), named_struct('role', 'user', 'content', 'hi')) AS c, array(1, 1, 0) AS a, 'multiple-choice' AS t"
+    )
+    r = df.select(
+        S.retrieval_text(F.col("d")).alias("doc"), S.assistant_mask(F.col("m")).alias("mask"), S.with_notice(F.col("c"), F.lit("new")).alias("n"), S.tail_mask(F.col("a"), 2).alias("tail"), S.question_type_alias(F.col("t")).alias("t"),
+        S.frame_count(F.lit(100.0), 2.0, 4, 768).alias("frames"), S.smart_resize(F.lit(480), F.lit(640)).alias("size"), S.flops(F.lit(10.0), F.lit(0.0), 4, 1, 8, 1, 1, 2).alias("flops"),
+    ).first()
+    assert r["doc"] == "Doc 1 (Title: T) x" and r["mask"] == [1, 1, 0] and [m["content"] for m in r["n"]] == ["hi", "[NOTICE] new"] and r["tail"] == [1, 0] and r["t"] == "MCQ"
+    assert r["frames"] == 200 and tuple(r["size"]) == (476, 644)
+    weights = 4 * (1 + 2) * 4 + 4 * 4 + 3 * 4 * 2 + 2 * 8 * 4
+    assert r["flops"] == 6.0 * weights * 10
+    assert P.geo_score("<think>x</think> \\boxed{3}", "3") == pytest.approx(1.0) and P.geo_score(None, "3") == 0.0

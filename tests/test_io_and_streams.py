@@ -85,3 +85,12 @@ def test_entry_queries():
 
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) > 150
+
+
+def test_messages_and_oversampling(spark):
+    t = spark.sql("SELECT array(1, 2) AS m, array(3) AS n, array(0, 0) AS k, array(1) AS k2")
+    assert K.append_messages(t, "m", "n", "k", "k2", 2).select("m", "k").first() == ([1, 2], [0, 0])
+    batches = lambda: iter([spark.range(i, i + 3).toDF("u") for i in (0, 3, 6)])
+    assert K.sample_until(batches(), lambda x: x, 5, "u", 3).count() == 6
+    with pytest.raises(RuntimeError):
+        K.sample_until(batches(), lambda x: x, 50, "u", 2)
