@@ -37,7 +37,7 @@ def split_percent(spark, d):
 
 @query("step_stats", f"WITH {STEPS_SQL}, j AS (SELECT traj_id, cur_step, coalesce(error_code, '') AS e, CASE WHEN coalesce(error_code, '') IN ('', 'OK') AND json_valid(output) THEN output END AS j FROM st), x AS (SELECT *, json_extract_string(j, '$.action.type') AS t FROM j) SELECT traj_id, cur_step, CASE WHEN e NOT IN ('', 'OK') THEN 'ERROR' ELSE coalesce(t, 'UNKNOWN') END AS action_type, CASE WHEN t = 'get_frames' THEN TRY_CAST(json_extract_string(j, '$.action.num') AS DOUBLE) END AS n_frames, CASE WHEN t = 'get_audio' THEN TRY_CAST(json_extract_string(j, '$.action.start') AS DOUBLE) END AS audio_start FROM x")
 def step_stats(spark, d):
-    s = steps(spark, d).select("traj_id", "cur_step", D.step_stats(F.col("output"), F.col("error_code")).alias("s"))
+    s = steps(spark, d, output=True).select("traj_id", "cur_step", D.step_stats(F.col("output"), F.col("error_code")).alias("s"))
     return s.select("traj_id", "cur_step", "s.action_type", "s.n_frames", "s.audio_start")
 
 

@@ -19,8 +19,8 @@ TRAJ_SQL = STEPS_SQL + f""", tr AS (SELECT traj_id, max(cur_step) + 1 AS n_steps
 _S = lambda c: f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)"
 
 
-def steps(spark, d):
-    return R.canonical_steps(table(spark, d, "steps"))
+def steps(spark, d, output=False):
+    return R.canonical_steps(table(spark, d, "steps"), output)
 
 
 def _round(df, *keep):
@@ -60,13 +60,13 @@ _EV = f""", b AS (SELECT traj_id, {_BODY} AS body FROM st WHERE {OK}), j AS (SEL
 
 @query("evidence", f"WITH {STEPS_SQL}{_EV} SELECT traj_id, " + _sel({"frames": "frames", "clip": "clip", "audio": "audio"}) + " FROM ev")
 def evidence(spark, d):
-    return _round(R.evidence(steps(spark, d)), "traj_id")
+    return _round(R.evidence(steps(spark, d, output=True)), "traj_id")
 
 
 @query("evidence_summary", f"WITH {STEPS_SQL}{_EV} SELECT " + _sel({"frames_mean": "avg(frames)", "frames_median": "median(frames)", "clip_mean": "avg(clip)", "clip_median": "median(clip)", "audio_mean": "avg(audio)", "audio_max": "max(audio)",
     "frames_p90": "(SELECT x[1 + CAST(round_even(0.9 * (len(x) - 1), 0) AS INT)] FROM (SELECT list(frames ORDER BY frames) AS x FROM ev))"}) + " FROM ev")
 def evidence_summary(spark, d):
-    e = R.evidence(steps(spark, d))
+    e = R.evidence(steps(spark, d, output=True))
     return _round(e.agg(F.avg("frames").alias("frames_mean"), F.median("frames").alias("frames_median"), F.avg("clip").alias("clip_mean"), F.median("clip").alias("clip_median"), F.avg("audio").alias("audio_mean"), F.max("audio").alias("audio_max"), R.nearest_rank(F.col("frames"), 0.9).alias("frames_p90")))
 
 
@@ -87,7 +87,7 @@ def macro(spark, d):
 
 @query("calibration", f"WITH {STEPS_SQL}, l AS (SELECT traj_id, arg_max({_BODY}, cur_step) AS body, arg_max(coalesce(won, false), cur_step) AS won FROM st GROUP BY 1), c AS (SELECT round_even(TRY_CAST(json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.confidence') AS DOUBLE), 2) AS confidence, won FROM l) SELECT confidence, count(*) AS trajectories, round({_S('won')}, 6) AS accuracy FROM c WHERE confidence IS NOT NULL GROUP BY 1")
 def calibration(spark, d):
-    return _round(R.calibration(steps(spark, d)), "confidence", "trajectories")
+    return _round(R.calibration(steps(spark, d, output=True)), "confidence", "trajectories")
 
 
 @query("duration_buckets", f"WITH {TRAJ_SQL} SELECT CAST(floor(duration / 120) AS BIGINT) AS bucket, count(*) AS trajectories, round({_S('won')}, 6) AS accuracy, round(avg(n_steps), 6) AS avg_steps FROM tr WHERE duration >= 0 GROUP BY 1")

@@ -155,18 +155,18 @@ def place_reward(spark, d):
 
 @query("action_parse")
 def action_parse(spark, d):
-    return steps(spark, d).select("traj_id", "cur_step", P.parse_action_strict(F.col("output")).alias("a")).select("traj_id", "cur_step", "a.*")
+    return steps(spark, d, output=True).select("traj_id", "cur_step", P.parse_action_strict(F.col("output")).alias("a")).select("traj_id", "cur_step", "a.*")
 
 
 @query("action_parse_lenient")
 def action_parse_lenient(spark, d):
-    a = steps(spark, d).select(P.parse_action_lenient(F.col("output")).alias("a"))
+    a = steps(spark, d, output=True).select(P.parse_action_lenient(F.col("output")).alias("a"))
     return a.groupBy("a.type", "a.label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("json_clean")
 def json_clean(spark, d):
-    return steps(spark, d).select("traj_id", "cur_step", P.clean_json(F.col("output")).alias("json"))
+    return steps(spark, d, output=True).select("traj_id", "cur_step", P.clean_json(F.col("output")).alias("json"))
 
 
 def _boxed(spark, d):
