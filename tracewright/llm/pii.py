@@ -26,9 +26,10 @@ _CJK = "㐀-鿿豈-﫿぀-ヿ가-힯"
 # A unit is a token with the white space before it, so that a text is its units one after another.
 TOKEN = re.compile(rf"\s*(?:[{_CJK}]|[^\W\d_{_CJK}]+|\d+|[^\w\s]|_)")
 _ABBREV = "ext|tel|tél|ave|apt|avda|str|nr|no|mrs|prof|blvd|bzw|usw|dña|sra|sta|ste|rd|hno|inc|dept|etc|cia"
-# A stop after a word of three small letters (no abbreviation), or a bracket or quote, before something that begins a sentence.
+# A stop after a word of three small letters (no abbreviation), or after a bracket or quote, before something that begins a
+# sentence. The pattern begins with one set of characters, so that the search can skip all others.
 CUT = re.compile(
-    rf"(?:(?<=[a-zà-ÿ]{{3}}[.!?;])|(?<=[0)\]\"”][.!?]))\s+(?=[A-ZÀ-Ý\[{{(<|\"“])|(?<=[。！？])|\n\s*\n|(?<=[.?!;}})\]>|])\n|\n(?=[\[{{<|])|\n(?=[A-Z]{{4,}} [a-z])"
+    r"[.!?;})\]>|\n。！？](?:(?<=[a-zà-ÿ]{3}[.!?;])\s+(?=[A-ZÀ-Ý\[{(<|\"“])|(?<=[0)\]\"”][.!?])\s+(?=[A-ZÀ-Ý\[{(<|\"“])|(?<=[。！？])|(?<=\n)\s*\n|(?<=[.?!;})\]>|])\n|(?<=\n)(?=[\[{<|])|(?<=\n)(?=[A-Z]{4,} [a-z]))"
 )
 _ENDS_SHORT = re.compile(rf"\b(?:{_ABBREV})\.\s*$", re.I)
 MAX_TOKENS, OVERLAP = 480, 60
@@ -84,7 +85,7 @@ def segments(norm: str) -> list[tuple[int, int]]:
     """Bounds of the segments of a text."""
     out, at = [], 0
     for m in CUT.finditer(norm):
-        if m.end() > at and not _ENDS_SHORT.search(norm, max(at, m.start() - 8), m.start()):
+        if m.end() > at and not _ENDS_SHORT.search(norm, max(at, m.start() - 8), m.start() + 1):
             out.append((at, m.end()))
             at = m.end()
     if at < len(norm):
