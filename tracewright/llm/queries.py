@@ -15,7 +15,7 @@ from tracewright.llm.packing import pack
 from tracewright.llm.pii import find_pii, mask_pii
 from tracewright.llm.runs import field_runs, step_runs
 from tracewright.llm.sql import SQL as SQL
-from tracewright.llm.splits import assign_splits, recording_components
+from tracewright.llm.splits import assign_splits, components, recording_components
 from tracewright.llm.text import label_key
 from tracewright.session import materialize, table
 
@@ -70,6 +70,14 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(rows, "row_id", materialize(recording_components(rows, "row_id"), "comp"), label_key(F.col("question_type")), SPLIT_SHARES)
 
 
+@_add
+def p4_source_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits that keep a whole ``data_source`` together; with few sources the shares are as near as whole sources allow."""
+    rows = table(spark, sf_dir, "example_train_rl")
+    whole = materialize(components(rows, "row_id", {"data_source": label_key(F.col("data_source"))}), "comp")
+    return assign_splits(rows, "row_id", whole, label_key(F.col("question_type")), SPLIT_SHARES)
+
+
 @_add
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that a fifth of the training rows cannot meet, from the reports of the three samples."""
