@@ -49,23 +49,25 @@ def copy_groups(df: DataFrame, row_id: str, items: Column) -> DataFrame:
     Repeated row ids count as copies of each other. Empty tables give no rows; other columns of ``df`` are not read.
     """
     # items are made once and kept: normal forms cost more than reading them again
-    made = materialize(df.select(F.col(row_id).alias("row_id"), items.alias("items")), "items")
+    made = materialize(df.select(F.col(row_id).alias("row_id"), items.alias("items"), F.monotonically_increasing_id().alias("uid")), "items")
     rows = made.where(F.col("items").isNotNull() & F.col("row_id").isNotNull()).withColumns({"h1": multiset_hash(F.col("items"), 1), "h2": multiset_hash(F.col("items"), 2)})
-    counts = rows.groupBy("h1", "h2").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n"))
+    # fixed-width aggregates and hashed joins: no sort
+    counts = rows.groupBy("h1", "h2").agg(F.min("row_id").alias("first_row_id"), F.min("uid").alias("head_uid"), F.count(F.lit(1)).alias("n"))
     groups = materialize(counts, "copies")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    groups = groups.where("n > 1")
-    members = materialize(attach(rows, groups, ["h1", "h2"], "n", "row_id", total), "members")
-    heads = members.where("row_id = first_row_id").groupBy("first_row_id").agg(F.first("items").alias("head"), F.first("n").alias("n"))
-    checked = attach(members.drop("n"), heads, ["first_row_id"], "n", "row_id", total)
+    members = materialize(attach(rows, groups.where("n > 1"), ["h1", "h2"], "n", "uid", total, hashed=True).select("uid", "row_id", "items", "first_row_id", "head_uid", "n"), "members")
+    heads = members.where("uid = head_uid").select("head_uid", F.col("items").alias("head"), "n")
     same = (F.size("items") == F.size("head")) & (F.size(F.array_except("items", "head")) == 0)
-    good = checked.where(same).select("first_row_id", "row_id")
-    # members whose hashes agree with the head's but whose items do not: grouped by the items
+    checked = materialize(attach(members.drop("n"), heads, ["head_uid"], "n", "uid", total, hashed=True).select("first_row_id", "row_id", "head_uid", same.alias("same")), "checked")
+    if not checked.where("NOT same").limit(1).count():
+        return checked.select("first_row_id", "row_id")
+    # groups whose members agree in their hashes but not in their items: grouped by the items themselves
+    mixed = checked.where("NOT same").select("head_uid").distinct()
+    good = checked.join(mixed, "head_uid", "left_anti").select("first_row_id", "row_id")
     key = F.array_join(F.array_sort("items"), "\x02")
-    odd = checked.where(~same).select("row_id", key.alias("key"))
-    odd_groups = odd.groupBy("key").agg(F.min("row_id").alias("first_row_id"))
-    rest = odd.join(odd_groups, "key").select("first_row_id", "row_id")
-    return good.unionByName(rest)
+    odd = members.join(mixed, "head_uid", "left_semi").select("row_id", key.alias("key"))
+    least = odd.groupBy("key").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n"))
+    return good.unionByName(attach(odd, least.where("n > 1"), ["key"], "n", "row_id", total).select("first_row_id", "row_id"))
 
 
 def collapse_copies(df: DataFrame, row_id: str, items: Column) -> DataFrame:
