@@ -304,13 +304,25 @@ def action_metrics(steps: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: Column, p: float) -> Column:
-    """Nearest-rank percentile of a column, ranks rounded half to even. An aggregate over one group's values."""
+    """Nearest-rank percentile of a column, ranks rounded half to even. An aggregate for groups that are small by nature
+    (the steps of an episode): a group's values are one array. For a whole frame there is :func:`nearest_rank_of`."""
     s = F.array_sort(F.collect_list(values))
     return F.get(s, F.rint(F.lit(p) * (F.size(s) - 1)).cast("int"))
 
 
+def nearest_rank_of(df: DataFrame, col: str, p: float) -> DataFrame:
+    """The nearest-rank percentile of a whole column as a one-row frame: rows are numbered by ranges and one is taken."""
+    from tracewright.operators.frame import number
+
+    known = df.select(col).where(F.col(col).isNotNull())
+    rank = round(p * max(0, known.count() - 1))
+    return number(known, [col], "_rank").where(F.col("_rank") == rank).select(col)
+
+
 def exclusive_quantile(values: Column, i: int, n: int) -> Column:
-    """The i-th of n-1 exclusive quantile cuts (as statistics.quantiles gives them); one value gives itself."""
+    """The i-th of n-1 exclusive quantile cuts (as statistics.quantiles gives them); one value gives itself.
+
+    For groups that are small by nature, as :func:`nearest_rank`."""
     s = F.array_sort(F.collect_list(values))
     m = F.size(s) + 1
     j = F.greatest(F.lit(1), F.least(F.size(s) - 1, F.floor(m * i / n).cast("int")))

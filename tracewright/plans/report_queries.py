@@ -67,7 +67,7 @@ def evidence(spark, d):
     "frames_p90": "(SELECT x[1 + CAST(round_even(0.9 * (len(x) - 1), 0) AS INT)] FROM (SELECT list(frames ORDER BY frames) AS x FROM ev))"}) + " FROM ev")
 def evidence_summary(spark, d):
     e = R.evidence(steps(spark, d, output=True))
-    return _round(e.agg(F.avg("frames").alias("frames_mean"), F.median("frames").alias("frames_median"), F.avg("clip").alias("clip_mean"), F.median("clip").alias("clip_median"), F.avg("audio").alias("audio_mean"), F.max("audio").alias("audio_max"), R.nearest_rank(F.col("frames"), 0.9).alias("frames_p90")))
+    return _round(e.agg(F.avg("frames").alias("frames_mean"), F.median("frames").alias("frames_median"), F.avg("clip").alias("clip_mean"), F.median("clip").alias("clip_median"), F.avg("audio").alias("audio_mean"), F.max("audio").alias("audio_max")).withColumn("frames_p90", R.nearest_rank_of(e, "frames", 0.9).scalar()))
 
 
 @query("first_invalid_steps", f"WITH {TRAJ_SQL} SELECT first_invalid, count(*) AS trajectories FROM tr WHERE NOT all_valid GROUP BY 1")
