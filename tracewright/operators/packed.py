@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.expr import let
+
 # Fixed values of this module: private-use characters for hidden text.
 _ESC_DQ, _ESC_SQ, _ESC_BS, _CUT, _Q = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _PLAIN = ",;|/\n\t\r；、"
@@ -34,9 +36,8 @@ def _hide(x: Column) -> Column:
     """Delimiters inside quotes become private characters; with an odd number of quotes nothing is hidden."""
 
     def by(q: str) -> Column:
-        pieces = F.split(x, q, -1)
-        hidden = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, _PLAIN, _HIDDEN)).otherwise(p))
-        return F.when(F.size(pieces) % 2 == 1, F.array_join(hidden, q)).otherwise(x)
+        hidden = lambda pieces: F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, _PLAIN, _HIDDEN)).otherwise(p))
+        return let(F.split(x, q, -1), lambda pieces: F.when(F.size(pieces) % 2 == 1, F.array_join(hidden(pieces), q)).otherwise(x))
 
     return F.when(F.instr(x, _Q) > 0, by(_Q)).when(F.instr(x, '"') > 0, by('"')).otherwise(x)
 
@@ -60,19 +61,21 @@ def _marked(x: Column, alone: Column) -> Column:
 
 def _fold(x: Column) -> Column:
     """Values of a marked element. A labelled piece begins a value only if its label follows that of the value before."""
-    pieces = F.split(x, _CUT, -1)
     bare = lambda p: F.regexp_replace(p, rf"^(?:{_DELIM})", "")
-    labels = _label(F.element_at(pieces, 1)) != ""
 
     def step(acc: Column, p: Column) -> Column:
         last = F.element_at(acc, -1)
-        follows = F.ascii(_label(bare(p))) == F.ascii(_label(last)) + 1
+        follows = lambda q: F.ascii(_label(q)) == F.ascii(_label(last)) + 1
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, p)))
-        return F.when(follows, F.concat(acc, F.array(bare(p)))).otherwise(joined)
+        return let(bare(p), lambda q: F.when(follows(q), F.concat(acc, F.array(q))).otherwise(joined))
+
+    def together(pieces: Column) -> Column:
+        folded = F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.slice(pieces, 1, 1), step)
+        plain = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(bare(p)))
+        labelled = ~F.contains(x, F.lit(_Q)) & (_label(F.element_at(pieces, 1)) != "")
+        return F.when(F.size(pieces) == 1, pieces).when(labelled, folded).otherwise(plain)
 
-    folded = F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.slice(pieces, 1, 1), step)
-    plain = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(bare(p)))
-    return F.when(F.size(pieces) == 1, pieces).when(labels & ~F.contains(x, F.lit(_Q)), folded).otherwise(plain)
+    return let(F.split(x, _CUT, -1), together)
 
 
 def _clean(x: Column) -> Column:
@@ -80,8 +83,8 @@ def _clean(x: Column) -> Column:
     edge = rf"(?:{_BLANK}|[,;|；、])"
     y = F.regexp_replace(x, rf"^{edge}*{_MARK}|{edge}+$", "")
     y = F.translate(y, _Q, "")
-    y = F.regexp_replace(y, r'(?s)^"((?:[^"]|"")*)"$', _CUT + "$1")
-    y = F.when(F.startswith(y, F.lit(_CUT)), F.replace(F.substring(y, 2, 1 << 30), F.lit('""'), F.lit('"'))).otherwise(y)
+    quoted = lambda y: F.replace(F.regexp_replace(y, r'(?s)^"((?:[^"]|"")*)"$', "$1"), F.lit('""'), F.lit('"'))
+    y = let(y, lambda y: F.when(F.startswith(y, F.lit('"')) & y.rlike(r'(?s)^"(?:[^"]|"")*"$'), quoted(y)).otherwise(y))
     y = F.translate(y, _HIDDEN + _ESC_DQ + _ESC_SQ + _ESC_BS, _PLAIN + "\"'\\")
     return F.regexp_replace(y, rf"^{_BLANK}+|{_BLANK}+$", "")
 
