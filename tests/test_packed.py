@@ -49,6 +49,22 @@ def test_lists_and_csv(spark):
     assert got[4] == ["One thing", "Another", "A third", "Fourth; nobody"]
 
 
+def test_quoted_neighbours(spark):
+    got = run(
+        spark,
+        ['"before noon","at dawn"; "three"'],
+        ['A) Because,B) None,"D) By a, not b","E) By c, not d"'],
+        ['A) Because,B) None,"C) By a, not b","D) By c, not d"'],
+        ['"The cat waits, then leaves",A jar and/or a kettle,"By a, not b"'],
+        ['"The sign says ""x y""" | The cat waits, then leaves'],
+    )
+    assert got[0] == ["before noon", "at dawn", "three"]
+    assert got[1][:1] == ["A) Because"] and len(got[1]) == 2
+    assert got[2] == ["A) Because", "B) None", "C) By a, not b", "D) By c, not d"]
+    assert got[3] == ["The cat waits, then leaves", "A jar and/or a kettle", "By a, not b"]
+    assert got[4] == ['The sign says "x y"', "The cat waits, then leaves"]
+
+
 def test_edges(spark):
     got = run(spark, None, [], [None, ""], ["A. one", "B. two"], [None, "A. one\nB. two", " "], ["A. " + "x" * 200_000 + "; B. y"])
     assert got[:4] == [[], [], [], []]

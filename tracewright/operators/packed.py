@@ -29,7 +29,8 @@ def _label(x: Column) -> Column:
 def _listed(x: Column) -> Column:
     """A bracketed list ('[..]' with quoted members): brackets off, member quotes marked."""
     body = F.regexp_replace(x, rf"(?s)^{_BLANK}*\[{_BLANK}*[\"'](.*)[\"']{_BLANK}*\]{_BLANK}*$", _Q + "$1" + _Q)
-    return F.regexp_replace(body, rf"[\"']{_BLANK}*,{_BLANK}*[\"']", f"{_Q},{_Q}")
+    members = lambda b: F.when(F.startswith(b, F.lit(_Q)), F.regexp_replace(b, rf"[\"']{_BLANK}*,{_BLANK}*[\"']", f"{_Q},{_Q}")).otherwise(b)
+    return let(body, members)
 
 
 def _hide(x: Column) -> Column:
@@ -49,7 +50,7 @@ def _marked(x: Column, alone: Column) -> Column:
     upper = F.regexp_replace(x, rf"({_DELIM})(?<!\d,)(?=[\"\p{{Lu}}\p{{Nd}}])", _CUT + "$1")
     strong = F.regexp_replace(x, r"([  　]*(?:[;|；]|\r?\n|\t)[\s,;|；]*)(?=[\"\p{Lu}\p{Nd}])", _CUT + "$1")
     every = F.regexp_replace(x, rf"({_DELIM})(?=\S)", _CUT + "$1")
-    starts_lower = x.rlike(rf"^{_BLANK}*{_MARK}\"?(?![\p{{Lu}}\p{{Nd}}])")
+    starts_lower = x.rlike(rf"^{_BLANK}*{_MARK}\"?(?![\"\p{{Lu}}\p{{Nd}}])")
     return (
         F.when(F.instr(x, _Q) > 0, quoted)
         .when(_label(x) != "", labelled)
