@@ -264,11 +264,15 @@ def q_gae(spark, d):
     return S.to_rows(arr, "row_id", "pos", ["advantage_raw", "returns"]).select("row_id", F.col("pos").cast("long").alias("pos"), r6("advantage_raw", "advantage"), r6("returns"))
 
 
-@query("gae_white")
+_GAE_ALL = _T.replace("WITH ", "WITH RECURSIVE ") + _GAE.replace("RECURSIVE_MARK ", "")
+
+
+@query("gae_white", _GAE_ALL + """, a AS (SELECT x.row_id, x.pos, gl, mask FROM x JOIN tok t ON t.row_id = x.row_id AND t.pos = x.pos), g AS (SELECT sum(gl * mask) / (sum(mask) + 1e-8) AS mu, sum(mask) AS n FROM a),
+ v AS (SELECT sum(mask * (gl - mu) ^ 2) / (max(n) + 1e-8) * max(n) / (max(n) - 1) AS var FROM a, g) SELECT row_id, pos, round((gl - mu) / sqrt(var + 1e-8), 6) AS advantage FROM a, g, v""")
 def q_gae_white(spark, d):
     arr = S.gae(S.to_arrays(tokens(spark, d), "row_id", "pos", _COLS))
     rows = S.to_rows(arr, "row_id", "pos", ["advantage_raw", "mask"])
-    return S.whiten(rows, "advantage_raw", "mask", "advantage").select("row_id", "pos", r6("advantage"))
+    return S.whiten(rows, "advantage_raw", "mask", "advantage").select("row_id", F.col("pos").cast("long").alias("pos"), r6("advantage"))
 
 
 _RET = """, x AS (SELECT row_id, max(pos) + 1 AS pos, CAST(0 AS DOUBLE) AS run, CAST(0 AS DOUBLE) AS ret FROM tok GROUP BY row_id UNION ALL SELECT t.row_id, t.pos, (t.reward + 0.99 * x.run) * t.mask, t.reward + 0.99 * x.run FROM x JOIN tok t ON t.row_id = x.row_id AND t.pos = x.pos - 1)"""

@@ -186,7 +186,7 @@ def dapo(spark, d):
     return _boxed(spark, d).select("k", "l_linenumber", "l_partkey", P.dapo_score_udf("text", "truth").alias("r")).select("k", "l_linenumber", "l_partkey", "r.score", "r.acc")
 
 
-@query("answers_equal")
+@query("answers_equal", "SELECT l_orderkey AS k, l_linenumber, l_partkey, true AS same FROM lineitem")
 def answers_equal(spark, d):
     b = _boxed(spark, d)
-    return b.select("k", "l_linenumber", "l_partkey", P.answers_equal_udf("truth", "truth").alias("same"))
+    return b.select("k", "l_linenumber", "l_partkey", P.answers_equal_udf("truth", F.concat(F.lit(" "), "truth", F.lit("."))).alias("same"))
