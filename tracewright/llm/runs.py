@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions.expr import let
 from tracewright.llm.text import folded
 
 BLOCK = 4096
@@ -88,17 +89,19 @@ def action_event(output: Column) -> Column:
     Readable outputs (a JSON object with ``action.type``, in a code fence or not) give type, numbers and loose answer content.
     Others give the kind ``?`` and a digest of the text without white space. Null gives the digest of an empty text.
     """
-    body = F.regexp_replace(output, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
-    v = F.try_parse_json(F.when(body.rlike(r"(?s)^\s*\{.*\}\s*$"), body))
-    get = lambda path, kind: F.try_variant_get(v, path, kind)
-    kind = F.regexp_replace(folded(get("$.action.type", "string")), r"[^\p{L}\p{N}]", "")
-    content = F.regexp_replace(folded(get("$.action.content", "string")), r"(?<!\d)\.|\.(?!\d)|[^\p{L}\p{N}.]", "")
-    raw = F.md5(F.regexp_replace(F.coalesce(output, F.lit("")), r"[\s 　]+", "").cast("binary"))
-    read = F.coalesce(kind, F.lit("")) != ""
-    return F.struct(
-        F.when(read, kind).otherwise("?").alias("kind"), F.when(read, F.coalesce(content, F.lit(""))).otherwise(raw).alias("text"),
-        F.when(read, get("$.action.num", "double")).alias("num"), F.when(read, get("$.action.start", "double")).alias("start"), F.when(read, get("$.action.end", "double")).alias("end"),
-    )
+    body = F.when(F.contains(output, F.lit("```")), F.regexp_replace(output, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")).otherwise(output)
+    v = let(body, lambda b: F.try_parse_json(F.when(b.rlike(r"^\s*\{") & b.rlike(r"\}\s*$"), b)))
+    raw = F.md5(F.regexp_replace(F.coalesce(output, F.lit("")), r"[\s 　]+", "").cast("binary"))
+
+    def asked(v: Column) -> Column:
+        get = lambda path, kind: F.try_variant_get(v, path, kind)
+        kind = F.regexp_replace(folded(get("$.action.type", "string")), r"[^\p{L}\p{N}]", "")
+        content = F.regexp_replace(folded(get("$.action.content", "string")), r"(?<!\d)\.|\.(?!\d)|[^\p{L}\p{N}.]", "")
+        return F.struct(kind.alias("kind"), F.coalesce(content, F.lit("")).alias("text"), get("$.action.num", "double").alias("num"), get("$.action.start", "double").alias("start"), get("$.action.end", "double").alias("end"))
+
+    none = F.lit(None).cast("double")
+    unread = F.struct(F.lit("?").alias("kind"), raw.alias("text"), none.alias("num"), none.alias("start"), none.alias("end"))
+    return let(let(v, asked), lambda e: F.when(F.coalesce(e["kind"], F.lit("")) != "", e).otherwise(unread))
 
 
 def same_action(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.expr import let
+
 # Private-use characters standing for a decimal point, a sign and a boundary between digit groups.
 _POINT, _MINUS, _GAP = "\ue101", "\ue102", "\ue103"
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
@@ -48,10 +50,13 @@ def recording_key(x: Column) -> Column:
     y = F.regexp_extract(F.regexp_replace(y, r"\s+$", ""), r"([^/\\]+)[/\\]*$", 1)
     y = F.regexp_replace(y, r"(?:\.[a-z][a-z0-9]{1,4})+$", "")
     stretch = r"[._\-\s~]+(\d{1,7})(?:\.\d+)?[._\-\s~]+(\d{1,7})(?:\.\d+)?$"
-    lo, hi = F.regexp_extract(y, stretch, 1), F.regexp_extract(y, stretch, 2)
-    is_stretch = (lo != "") & (lo.try_cast("int") < hi.try_cast("int"))
-    y = F.when(is_stretch & y.rlike(r"^.*[\p{L}\p{N}].*" + stretch), F.regexp_replace(y, stretch, "")).otherwise(y)
-    return F.nullif(F.regexp_replace(y, r"[^\p{L}\p{N}]+", ""), F.lit(""))
+
+    def bare(y: Column) -> Column:
+        lo, hi = F.regexp_extract(y, stretch, 1), F.regexp_extract(y, stretch, 2)
+        rising = (lo != "") & (lo.try_cast("int") < hi.try_cast("int")) & y.rlike(r"^.*[\p{L}\p{N}].*" + stretch)
+        return F.when(y.rlike(r"\d$"), F.when(rising, F.regexp_replace(y, stretch, "")).otherwise(y)).otherwise(y)
+
+    return F.nullif(F.regexp_replace(let(y, bare), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
 def label_key(x: Column) -> Column:
