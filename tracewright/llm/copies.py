@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.expr import let
 from tracewright.llm.groups import attach
 from tracewright.llm.text import folded, loose_path, loose_text
 from tracewright.session import materialize
@@ -20,14 +21,18 @@ _NAMED = r"([\p{L}_][\p{L}\p{N}_]*)[\"'”’]?\s*[:=]\s*[\"'“‘]?(-?\d+(?:\.
 
 def value_items(name: str, x: Column) -> Column:
     """Items of a free value: named members (``a=1``, ``"a": 1``) one by one with their occurrence, the rest as one item."""
-    low = folded(x)
-    names, vals = F.regexp_extract_all(low, F.lit(_NAMED), 1), F.regexp_extract_all(low, F.lit(_NAMED), 2)
-    pairs = F.arrays_zip(names.alias("n"), vals.alias("v"))
-    item = lambda p, i: F.concat_ws(
-        "\x01", F.lit(name), p["n"], F.size(F.filter(F.slice(names, 1, i), lambda n: n == p["n"])).cast("string"), loose_text(p["v"], signed=True)
-    )
-    rest = F.concat_ws("\x01", F.lit(name), loose_text(F.regexp_replace(low, _NAMED, " "), signed=True))
-    return F.when(low.rlike(_NAMED), F.concat(F.transform(pairs, item), F.array(rest))).otherwise(F.array(F.concat_ws("\x01", F.lit(name), loose_text(x, signed=True))))
+    def of(low: Column) -> Column:
+        names, vals = F.regexp_extract_all(low, F.lit(_NAMED), 1), F.regexp_extract_all(low, F.lit(_NAMED), 2)
+
+        def items(names: Column) -> Column:
+            earlier = lambda n, i: F.size(F.filter(F.slice(names, 1, i), lambda m: m == n)).cast("string")
+            return F.transform(F.arrays_zip(names.alias("n"), vals.alias("v")), lambda p, i: F.concat_ws("\x01", F.lit(name), p["n"], earlier(p["n"], i), loose_text(p["v"], signed=True)))
+
+        rest = F.concat_ws("\x01", F.lit(name), loose_text(F.regexp_replace(low, _NAMED, " "), signed=True))
+        plain = F.array(F.concat_ws("\x01", F.lit(name), loose_text(low, signed=True)))
+        return F.when(low.rlike(_NAMED), F.concat(let(names, items), F.array(rest))).otherwise(plain)
+
+    return let(folded(x), of)
 
 
 def text_items(name: str, x: Column) -> Column:
