@@ -2,7 +2,7 @@
 
 Evaluation samples are cut into shards by recording; each shard gets a compressed full-text index of its questions, in which a
 symbol is a word of one recording, so that matches never leave the recording. Training questions stream through backward
-search; matches of ``SEED`` words are located, rarest first, until what is left could not make a near copy; the spans of a
+search; matches of ``SEED`` words (one for questions of up to ``SHORT`` words) are located, rarest first, until what is left could not make a near copy; the spans of a
 pair are merged into its maximal matches and counted, and pairs that share enough are compared exactly.
 """
 
@@ -25,8 +25,11 @@ TRAIN_ROWS = 100_000
 HOT_SHARE = 1 / 1000
 SEED = 2
 COVERAGE = 0.5
-COVERAGE_PLACES = 0.4
-SIMILARITY = 0.77
+COVERAGE_PLACES = 0.2
+SHORT = 10
+SIMILARITY = 0.68
+SURE = 0.85
+SHARED_WORDS = 0.8
 _WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
@@ -73,6 +76,25 @@ def similarity(a: str, b: str) -> float:
     return 1.0 - score / len(b)
 
 
+def near(a: list[str], b: list[str], threshold: float = SIMILARITY) -> float | None:
+    """The similarity of two word lists that are near copies, else None.
+
+    Near copies have the same numbers, and an edit similarity of at least ``SURE``, or of at least ``threshold`` with
+    ``SHARED_WORDS`` of the distinct words of the one that has fewer: added words lower the similarity, other contents the share.
+    """
+    ta, tb = " ".join(a), " ".join(b)
+    if ta == tb:
+        return 1.0 if ta else None
+    if min(len(ta), len(tb)) < threshold * max(len(ta), len(tb)) or numbers(a) != numbers(b):
+        return None
+    sa, sb = set(a), set(b)
+    shared = len(sa & sb) / max(1, min(len(sa), len(sb)))
+    if shared < SHARED_WORDS / 2:
+        return None
+    s = similarity(ta, tb)
+    return s if s >= SURE or (s >= threshold and shared >= SHARED_WORDS) else None
+
+
 def _spans(query: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merged words per (query, document): spans sorted, overlaps counted once."""
     order = np.lexsort((start, doc, query))
@@ -134,7 +156,7 @@ def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILAR
     syms = np.array(flat, np.int64)
     known = np.bincount(query, syms > 0, len(t_class))
     syms = np.where((known >= coverage * sizes)[query], syms, 0)  # a near copy has that many words of the recording
-    seed = np.minimum(SEED, sizes)
+    seed = np.where(sizes <= SHORT, 1, SEED)
     seen: dict[tuple[int, int], int] = {}
     for size in np.unique(seed[sizes > 0]).tolist():
         end, lo, hi = index.matches(np.where((seed == size)[query], syms, 0), first[query], size)
@@ -157,17 +179,8 @@ def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILAR
                 seen[(x, y)] = c
     found = []
     for (a, b), got in seen.items():
-        te, tt = e_class[b][1], t_class[a][1]
-        if min(len(te), len(tt)) < threshold * max(len(te), len(tt)) or not tt:
-            continue
-        if te != tt:
-            we, wt = te.split(" "), tt.split(" ")
-            if numbers(we) != numbers(wt):
-                continue
-            if len(set(we) & set(wt)) < coverage * min(len(set(we)), len(set(wt))):
-                continue
-        s = similarity(te, tt)
-        if s >= threshold:
+        s = near(e_class[b][1].split(), t_class[a][1].split(), threshold)
+        if s is not None:
             found.append((b, a, got, s))
     if not found:
         return none
@@ -204,12 +217,12 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, threshold: float =
         x = x.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1)))
         sides.append(x.withColumn("shard", F.pmod(F.xxhash64("rec"), F.lit(shards)).cast("int")).drop("blocks", "salts"))
 
-    def near(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return find_overlaps(left, right, threshold)
 
     keys = ["shard", "blk", "salt"]
     schema = "eval_id long, row_id long, split string, source string, words long, similarity double"
-    return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(near, schema)
+    return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(shard, schema)
 
 
 def _hot(rows: DataFrame, total: int, limit: int, name: str) -> DataFrame:

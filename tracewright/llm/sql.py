@@ -33,7 +33,9 @@ P4_FOUND = f"WITH k AS (SELECT row_id, {recording('video')} AS rec FROM example_
 _WORDS = r"array_to_string(regexp_extract_all(lower({0}), '\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|\p{{L}}+'), ' ')"
 _NUMBERS = r"list_sort([TRY_CAST(replace(x, ',', '') AS DOUBLE) FOR x IN regexp_extract_all({0}, '\d+(?:[.,]\d+)*')])"
 P5_FOUND = f"""WITH e AS (SELECT eval_id, {recording('video')} AS rec, {_WORDS.format('question')} AS q FROM example_eval), t AS (SELECT row_id, {recording('video')} AS rec, {_WORDS.format('question')} AS q FROM example_train_rl),
- p AS (SELECT eval_id, row_id, e.q AS a, t.q AS b FROM e JOIN t USING (rec) WHERE e.q <> '' AND t.q <> '') SELECT eval_id, row_id FROM p WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.77 AND {_NUMBERS.format('a')} = {_NUMBERS.format('b')}"""
+ p AS (SELECT eval_id, row_id, e.q AS a, t.q AS b, list_distinct(str_split(e.q, ' ')) AS x, list_distinct(str_split(t.q, ' ')) AS y FROM e JOIN t USING (rec) WHERE e.q <> '' AND t.q <> ''),
+ s AS (SELECT *, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS s, len(list_intersect(x, y)) / least(len(x), len(y)) AS w FROM p)
+ SELECT eval_id, row_id FROM s WHERE (s >= 0.85 OR (s >= 0.68 AND w >= 0.8)) AND {_NUMBERS.format('a')} = {_NUMBERS.format('b')}"""
 
 _LABEL = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[_\-\s]', '_', 'g')"
 P6_FOUND = f"""WITH l AS (SELECT 'question_type' AS f, question_type AS v FROM example_train_rl UNION ALL SELECT 'data_source', data_source FROM example_train_rl UNION ALL SELECT 'ability', ability FROM example_train_rl),
