@@ -10,22 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEP_FIELDS = ["run_id", "question_id", "action_type", "step_reward", "episode_reward", "generation_seconds", "env_step_seconds", "step_wall_seconds", "video", "question_type", "won", "valid", "error_code", "duration"]
+STEP_FIELDS = ["run_id", "question_id", "action_type", "output", "step_reward", "episode_reward", "generation_seconds", "env_step_seconds", "step_wall_seconds", "video", "question_type", "won", "valid", "error_code", "duration"]
 
 
-def canonical_steps(steps: DataFrame, output: bool = False) -> DataFrame:
+def canonical_steps(steps: DataFrame) -> DataFrame:
     """``(traj_id, cur_step, ...)``: each step of a trajectory once, the first delivered; steps count from 0.
 
-    The bulky ``output`` is read and shuffled only where it is asked for.
+    Every field is an aggregate of its own, so that fields which a report does not use are neither read nor shuffled.
     """
     x = F.col("extra_info")
     nested = {"video": "video", "question_type": "question_type", "won": "won", "valid": "is_action_valid", "error_code": "error_code", "duration": "duration_seconds"}
-    fields = [*STEP_FIELDS, *["output"] * output]
     flat = steps.where(F.col("traj_id").isNotNull() & F.col("step").isNotNull()).select(
-        "traj_id", (F.col("step") - 1).alias("cur_step"), "ingested_at", *[x[nested[f]].alias(f) if f in nested else F.col(f) for f in fields]
+        "traj_id", (F.col("step") - 1).alias("cur_step"), "ingested_at", *[x[nested[f]].alias(f) if f in nested else F.col(f) for f in STEP_FIELDS]
     )
-    first = flat.groupBy("traj_id", "cur_step").agg(F.min_by(F.struct(*fields), "ingested_at").alias("_r"))
-    return first.select("traj_id", "cur_step", "_r.*")
+    return flat.groupBy("traj_id", "cur_step").agg(*[F.min_by(f, "ingested_at").alias(f) for f in STEP_FIELDS])
 
 
 def has_error() -> Column:
