@@ -18,7 +18,7 @@ from tracewright.llm.tokens import VOCABULARY, token_sizes, with_row_key
 from tracewright.session import materialize
 
 CAPACITY = 2048
-WINDOWS = 64
+WINDOWS = 128
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
