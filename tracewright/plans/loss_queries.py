@@ -249,8 +249,9 @@ def q_pair_accuracy(spark, d):
 def q_logits(spark, d):
     from tracewright.session import table
 
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("v"), "label")
-    return e.select("vec_id", r6(L.logits_entropy(F.col("v")), "entropy"), r6(L.logprob_from_logits(F.col("v"), F.col("label") % 8), "logprob"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    label = F.col("label") % F.nullif(F.size("v"), F.lit(0))
+    return e.select("vec_id", r6(L.logits_entropy(F.col("v")), "entropy"), r6(L.logprob_from_logits(F.col("v"), label), "logprob"))
 
 
 _COLS = ["reward", "value", "mask"]
