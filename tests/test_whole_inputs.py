@@ -25,3 +25,9 @@ def test_logits_of_the_whole_vector(run):
     for k, label in ((1, 9), (2, 70 % 64)):
         assert got[k].entropy == pytest.approx(entropy, abs=2e-6) and got[k].logprob == pytest.approx(v[label] - math.log(z), abs=2e-6)
     assert got[3].logprob is None and got[4].entropy is None
+
+
+def test_end_tokens_anywhere_in_the_sequence(run):
+    late = [0.0] * 40 + [7 / 40 + 0.001] + [0.0] * 23
+    rows = run("eos_masks", "embeddings", "vec_id long, embedding array<float>, label int", [(1, late, 0), (2, [0.0] * 64, 0), (3, [-9 / 40 - 0.001] + [0.0] * 63, 0)])
+    assert {r.vec_id: r["mask"] for r in rows} == {1: [1] * 41 + [0] * 23, 2: [1] * 64, 3: [1] + [0] * 63}

@@ -119,7 +119,7 @@ def chat_transcript(spark, d):
 
 @query("eos_masks", "WITH e AS (SELECT vec_id, [CAST(floor(abs(x) * 40) AS INT) FOR x IN embedding[1:16]] AS v FROM embeddings), p AS (SELECT vec_id, v, list_position([x IN (7, 9) FOR x IN v], true) AS p FROM e) SELECT vec_id, [CASE WHEN coalesce(p, 0) = 0 OR i + 1 <= p THEN 1 ELSE 0 END FOR i IN range(len(v))] AS mask FROM p")
 def eos_masks(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x) * 40).cast("int")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x) * 40).cast("int")).alias("v"))
     return e.select("vec_id", S.eos_mask(F.col("v"), [7, 9]).alias("mask"))
 
 
