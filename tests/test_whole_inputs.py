@@ -31,3 +31,10 @@ def test_end_tokens_anywhere_in_the_sequence(run):
     late = [0.0] * 40 + [7 / 40 + 0.001] + [0.0] * 23
     rows = run("eos_masks", "embeddings", "vec_id long, embedding array<float>, label int", [(1, late, 0), (2, [0.0] * 64, 0), (3, [-9 / 40 - 0.001] + [0.0] * 63, 0)])
     assert {r.vec_id: r["mask"] for r in rows} == {1: [1] * 41 + [0] * 23, 2: [1] * 64, 3: [1] + [0] * 63}
+
+
+def test_union_over_every_run(run):
+    runs = ["r00-amber", "r01-birch", "r02-cedar", "r03-delta", "other"]
+    rows = [(r, "q1", 1.0) for r in runs] + [(r, "q2", 1.0 if r == "r03-delta" else 0.0) for r in runs] + [("other", "q3", 0.9), ("r00-amber", "q3", 0.1), (None, "q4", 1.0), ("other", "q3", 0.9)]
+    got = run("union_accuracy", "episodes", "run_id string, question_id string, total_reward double", rows)[0]
+    assert (got.questions, got.correct_any, got.in_every, got.correct_every, got.inconsistent_rate) == (3, 3, 2, 1, 0.5)

@@ -136,16 +136,19 @@ def run_success(spark, d):
 _RES = f"WITH {_EP}, q AS (SELECT run_id, question_id, max(total_reward) AS r FROM ep WHERE run_id IN ('r00-amber', 'r01-birch', 'r02-cedar') GROUP BY 1, 2)"
 
 
-def _three(spark, d):
-    e = episodes(spark, d).where(F.col("run_id").isin("r00-amber", "r01-birch", "r02-cedar"))
+def _best(e):
     return e.groupBy("run_id", "question_id").agg(F.max("total_reward").alias("r"))
 
 
+def _three(spark, d):
+    return _best(episodes(spark, d).where(F.col("run_id").isin("r00-amber", "r01-birch", "r02-cedar")))
+
+
 @query("union_accuracy", f"{_RES}, n AS (SELECT count(DISTINCT run_id) AS n FROM q), g AS (SELECT question_id, bool_or(r >= 0.5) AS a, count(DISTINCT run_id) AS c, count(DISTINCT CASE WHEN r >= 0.5 THEN run_id END) AS o FROM q GROUP BY 1) SELECT " + _sel({
     "questions": "count(*)", "correct_any": "count(*) FILTER (a)", "union_accuracy": _S("a"), "in_every": "count(*) FILTER (c = n)", "correct_every": "count(*) FILTER (o = n)", "all_correct_ratio": "count(*) FILTER (o = n) / nullif(count(*) FILTER (c = n), 0)",
     "inconsistent_rate": "(count(*) FILTER (c = n) - count(*) FILTER (o = n)) / nullif(count(*) FILTER (c = n), 0)"}) + " FROM g, n")
 def union_accuracy(spark, d):
-    return _round(R.union_accuracy(_three(spark, d), "run_id", "question_id", "r"))
+    return _round(R.union_accuracy(_best(episodes(spark, d).where("run_id IS NOT NULL")), "run_id", "question_id", "r"))
 
 
 @query("run_difference", f"{_RES} SELECT a.question_id, round(a.r, 6) AS reward_a, round(b.r, 6) AS reward_b FROM q a JOIN q b USING (question_id) WHERE a.run_id = 'r00-amber' AND b.run_id = 'r01-birch' AND (a.r >= 0.5) <> (b.r >= 0.5)")
