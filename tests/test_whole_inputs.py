@@ -38,3 +38,13 @@ def test_union_over_every_run(run):
     rows = [(r, "q1", 1.0) for r in runs] + [(r, "q2", 1.0 if r == "r03-delta" else 0.0) for r in runs] + [("other", "q3", 0.9), ("r00-amber", "q3", 0.1), (None, "q4", 1.0), ("other", "q3", 0.9)]
     got = run("union_accuracy", "episodes", "run_id string, question_id string, total_reward double", rows)[0]
     assert (got.questions, got.correct_any, got.in_every, got.correct_every, got.inconsistent_rate) == (3, 3, 2, 1, 0.5)
+
+
+def test_spans_of_every_form(run):
+    good = {
+        '[[1, 2.5], [4, 5]]': (2, 2.5), '[{"start": 1, "end": 3}, {"end": 9.5, "start": 9}]': (2, 2.5), "[3, 4.25]": (1, 1.25), " [ ] ": (0, 0.0),
+        '[{"start": 1, "end": 2, "note": "a ] } b"}]': (1, 1.0), ' [[1, 2]]\n': (1, 1.0),
+    }
+    bad = ["B", "[b]", "", None, "[1, 2], [3, 4]", "[[1, 2]];", "[[1, 2]][[3, 4]]", "[[1, 2]] ], [", "[[1, 2]] }", '[{"start": 1, "end": 2}] x', "[{'start': 1, 'end': 2}]", '[{"start": 1}]', "[1, 2, 3]", "[[1, 2], [3]]", "[[1, 2]", "[[NaN, 2]]"]
+    rows = run("span_parse", "example_train_rl", "row_id long, answer string", list(enumerate([*good, *bad])))
+    assert {r.row_id: (r.n, r.seconds) for r in rows} == dict(enumerate(good.values()))

@@ -93,19 +93,25 @@ def format_blend(reward: Column) -> Column:
     return 0.1 + 0.9 * reward
 
 
+def _one_value(text: Column) -> Column:
+    """Whether a text that begins with a JSON value has nothing after it: a parser stops at the value's end."""
+    # what follows would have to fit before a closing bracket as well as before a closing brace
+    return (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1)
+
+
 def parse_spans(text: Column) -> Column:
-    """Spans of a JSON list of pairs, a flat pair, or a list of objects with start and end; null if the text is none of these."""
+    """Spans of a JSON list of pairs, a flat pair, or a list of objects with start and end; null if the whole text is none of these."""
     pairs = F.from_json(text, "array<array<double>>", {"mode": "PERMISSIVE"})
-    objs = F.from_json(text, "array<struct<start:double,end:double>>")
+    objs = F.from_json(text, "array<struct<start:double,end:double>>", {"allowSingleQuotes": "false"})
     flat = F.from_json(text, "array<double>")
     ok_pairs = (F.size(pairs) >= 0) & F.forall(pairs, lambda p: (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull()))
     ok_objs = F.forall(objs, lambda o: o["start"].isNotNull() & o["end"].isNotNull())
     ok_flat = (F.size(flat) == 2) & F.forall(flat, lambda v: v.isNotNull())
     return (
         F.when(text.rlike(r"^\s*\[\s*\]\s*$"), F.expr("CAST(array() AS ARRAY<STRUCT<s: DOUBLE, e: DOUBLE>>)"))
-        .when(text.rlike(r"^\s*\[\s*\{") & ok_objs, F.transform(objs, lambda o: F.struct(o["start"].alias("s"), o["end"].alias("e"))))
-        .when(text.rlike(r"^\s*\[\s*\[") & ok_pairs, F.transform(pairs, lambda p: F.struct(F.get(p, 0).alias("s"), F.get(p, 1).alias("e"))))
-        .when(text.rlike(r"^\s*\[\s*[-0-9]") & ok_flat, F.array(F.struct(F.get(flat, 0).alias("s"), F.get(flat, 1).alias("e"))))
+        .when(text.rlike(r"^\s*\[\s*\{") & ok_objs & _one_value(text), F.transform(objs, lambda o: F.struct(o["start"].alias("s"), o["end"].alias("e"))))
+        .when(text.rlike(r"^\s*\[\s*\[") & ok_pairs & _one_value(text), F.transform(pairs, lambda p: F.struct(F.get(p, 0).alias("s"), F.get(p, 1).alias("e"))))
+        .when(text.rlike(r"^\s*\[\s*[-0-9]") & ok_flat & _one_value(text), F.array(F.struct(F.get(flat, 0).alias("s"), F.get(flat, 1).alias("e"))))
     )
 
 
