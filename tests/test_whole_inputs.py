@@ -1,6 +1,7 @@
 """Queries over all of their input, against loops: nothing that the operator can take may be left out."""
 
 import math
+from datetime import datetime
 
 import pytest
 
@@ -48,3 +49,15 @@ def test_spans_of_every_form(run):
     bad = ["B", "[b]", "", None, "[1, 2], [3, 4]", "[[1, 2]];", "[[1, 2]][[3, 4]]", "[[1, 2]] ], [", "[[1, 2]] }", '[{"start": 1, "end": 2}] x', "[{'start': 1, 'end': 2}]", '[{"start": 1}]', "[1, 2, 3]", "[[1, 2], [3]]", "[[1, 2]", "[[NaN, 2]]"]
     rows = run("span_parse", "example_train_rl", "row_id long, answer string", list(enumerate([*good, *bad])))
     assert {r.row_id: (r.n, r.seconds) for r in rows} == dict(enumerate(good.values()))
+
+
+def test_step_report_counts_late_steps(run):
+    info = lambda won, valid, error: (None, None, won, valid, error, None)
+    rows = [("t1", i, info(None, True, None)) for i in range(1, 101)] + [("t1", 101, info(True, False, "BAD")), ("t2", 1, info(False, True, "STEP_LIMIT_REACHED"))]
+    schema = (
+        "traj_id string, step int, extra_info struct<video string, question_type string, won boolean, is_action_valid boolean, error_code string, duration_seconds double>, run_id string, question_id string, "
+        "action_type string, output string, step_reward double, done boolean, episode_reward double, generation_seconds double, env_step_seconds double, step_wall_seconds double, started_at timestamp, ingested_at timestamp"
+    )
+    at = datetime(2026, 1, 1)
+    got = run("step_report", "steps", schema, [(t, i, x, "r", "q", "answer", "", 0.0, False, 0.0, 0.0, 0.0, 0.0, at, at) for t, i, x in rows])[0]
+    assert (got.n_steps, got.valid, got.invalid, got.won, got.failed_at_limit) == (102, 100, 2, 1, 1)

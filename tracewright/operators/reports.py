@@ -125,11 +125,12 @@ def duration_buckets(steps: DataFrame, minutes: float = 2.0) -> DataFrame:
     return t.groupBy(F.floor(F.col("duration") / (60 * minutes)).alias("bucket")).agg(F.count(F.lit(1)).alias("trajectories"), share(F.col("won")).alias("accuracy"), F.avg("n_steps").alias("avg_steps"))
 
 
-def step_report(steps: DataFrame, max_steps: int = 80) -> DataFrame:
-    """One row over steps under the limit: rows, valid, invalid, parse-free, and trajectories that failed at their limit."""
+def step_report(steps: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """One row over all steps, or those under ``max_steps``: rows, valid, invalid, won, and trajectories that failed at their limit."""
     t = trajectories(steps)
     failed = t.agg(F.count_if(~F.col("won") & (F.coalesce("final_error", F.lit("")) == "STEP_LIMIT_REACHED"))).scalar()
-    return steps.where(F.col("cur_step") < max_steps).agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(is_valid()).alias("valid"), F.count_if(~is_valid()).alias("invalid"), F.count_if(F.coalesce("won", F.lit(False))).alias("won")).withColumn("failed_at_limit", failed)
+    rows = steps if max_steps is None else steps.where(F.col("cur_step") < max_steps)
+    return rows.agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(is_valid()).alias("valid"), F.count_if(~is_valid()).alias("invalid"), F.count_if(F.coalesce("won", F.lit(False))).alias("won")).withColumn("failed_at_limit", failed)
 
 
 def validity_by_step(steps: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def duration_buckets(spark, d):
 
 @query("step_report", f"WITH {TRAJ_SQL} SELECT count(*) AS n_steps, count(*) FILTER ({OK}) AS valid, count(*) FILTER (NOT {OK}) AS invalid, count(*) FILTER (won) AS won, (SELECT count(*) FROM tr WHERE NOT won AND final_error = 'STEP_LIMIT_REACHED') AS failed_at_limit FROM st WHERE cur_step < 12")
 def step_report(spark, d):
-    return R.step_report(steps(spark, d), 12)
+    return R.step_report(steps(spark, d))
 
 
 @query("validity_by_step", f"WITH {STEPS_SQL} SELECT cur_step, count(*) AS total, count(*) FILTER (coalesce(valid, true)) AS valid_rows, round({_S('coalesce(valid, true)')}, 6) AS ratio FROM st GROUP BY 1")
