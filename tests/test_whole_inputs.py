@@ -1,6 +1,8 @@
 """Queries over all of their input, against loops: nothing that the operator can take may be left out."""
 
 import math
+import re
+import string
 from datetime import datetime
 
 import pytest
@@ -61,3 +63,13 @@ def test_step_report_counts_late_steps(run):
     at = datetime(2026, 1, 1)
     got = run("step_report", "steps", schema, [(t, i, x, "r", "q", "answer", "", 0.0, False, 0.0, 0.0, 0.0, 0.0, at, at) for t, i, x in rows])[0]
     assert (got.n_steps, got.valid, got.invalid, got.won, got.failed_at_limit) == (102, 100, 2, 1, 1)
+
+
+def test_questions_beyond_ascii(run):
+    def normal(s):
+        s = "".join(c for c in s.lower() if c not in string.punctuation)
+        return " ".join(re.sub(r"\b(a|an|the)\b", " ", s).split())
+
+    texts = ["The  cat, an Owl!", "“The” cat—an owl？", "The　cat", "a b", "which\r\n\tof the", "x\x1cy\x85the\x1f", "thé cat", "a² the", "①the a", "the‿", "中the国", "İ the", ""]
+    rows = run("qa_normal", "example_eval", "eval_id long, question string", list(enumerate([*texts, None])))
+    assert {r.eval_id: r.norm for r in rows} == {i: normal(t) for i, t in enumerate(texts)}

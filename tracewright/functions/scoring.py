@@ -33,8 +33,9 @@ def gsm8k_score(text: Column, truth: Column, flexible: bool = False, score: floa
 def qa_normal(text: Column) -> Column:
     """Lower case, ASCII punctuation off, articles off, white space squeezed."""
     y = F.translate(F.lower(text), PUNCTUATION, "")
-    y = F.regexp_replace(y, r"(?U)\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(y, r"(?U)\s+", " "))
+    # words and white space as Python has them: marks are no part of a word, the separators 1C to 1F are white space
+    y = F.regexp_replace(y, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " ")
+    return F.trim(F.regexp_replace(y, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def last_answer_tag(text: Column) -> Column:

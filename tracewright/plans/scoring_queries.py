@@ -35,7 +35,7 @@ _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@
 
 @query("qa_normal", f"SELECT eval_id, {_NORM.format('question')} AS norm FROM example_eval WHERE question IS NOT NULL AND regexp_matches(question, '^[ -~]*$')")
 def qa_normal(spark, d):
-    return table(spark, d, "example_eval").where(F.col("question").isNotNull() & F.col("question").rlike(r"^[ -~]*\z")).select("eval_id", S.qa_normal(F.col("question")).alias("norm"))
+    return table(spark, d, "example_eval").where("question IS NOT NULL").select("eval_id", S.qa_normal(F.col("question")).alias("norm"))
 
 
 _TAG = "WITH t AS (SELECT p_partkey AS k, '<answer>none</answer> then <answer> The ' || p_name || '. </answer>' AS s, ['a ' || p_name, p_brand] AS g FROM part)"
