@@ -2,13 +2,14 @@
 
 Evaluation samples are cut into shards by recording; each shard gets a compressed full-text index of its questions, in which a
 symbol is a word of one recording, so that matches never leave the recording. Training questions stream through backward
-search; matches of ``SEED`` words (one for questions of up to ``SHORT`` words) are located, rarest first, until what is left could not make a near copy; the spans of a
-pair are merged into its maximal matches and counted, and pairs that share enough are compared exactly.
+search; matches of its distinct words are located, rarest first, until what is left could not make a near copy by the rule of
+``near``; the spans of a pair are merged and counted, and the pairs are compared exactly.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,6 @@ from tracewright.session import materialize
 SHARD_ROWS = 3000
 TRAIN_ROWS = 100_000
 HOT_SHARE = 1 / 1000
-SEED = 2
-COVERAGE = 0.5
-COVERAGE_PLACES = 0.2
-SHORT = 10
 SIMILARITY = 0.68
 SURE = 0.85
 SHARED_WORDS = 0.8
@@ -76,6 +73,12 @@ def similarity(a: str, b: str) -> float:
     return 1.0 - score / len(b)
 
 
+def _apart(a: str, b: str) -> int:
+    """A lower bound of the edit distance: characters that one text has and the other has not."""
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
+
+
 def near(a: list[str], b: list[str], threshold: float = SIMILARITY) -> float | None:
     """The similarity of two word lists that are near copies, else None.
 
@@ -91,6 +94,8 @@ def near(a: list[str], b: list[str], threshold: float = SIMILARITY) -> float | N
     shared = len(sa & sb) / max(1, min(len(sa), len(sb)))
     if shared < SHARED_WORDS / 2:
         return None
+    if shared < SHARED_WORDS and (min(len(ta), len(tb)) < SURE * max(len(ta), len(tb)) or _apart(ta, tb) > (1 - SURE) * max(len(ta), len(tb)) + 1e-6):
+        return None
     s = similarity(ta, tb)
     return s if s >= SURE or (s >= threshold and shared >= SHARED_WORDS) else None
 
@@ -121,7 +126,28 @@ def _by_query(need: np.ndarray, q_of: np.ndarray, n: np.ndarray, most: int = 1 <
         yield rows
 
 
-def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILARITY, coverage: float = COVERAGE, coverage_places: float = COVERAGE_PLACES) -> pd.DataFrame:
+def _least(e_class: list[tuple[str, str]], t_class: list[tuple[str, str]], threshold: float) -> np.ndarray:
+    """Distinct words that a near copy of a training question shares with it at least.
+
+    That is half of ``SHARED_WORDS`` of the one that has fewer, and near copies have at least ``threshold`` of the other's length.
+    """
+    by_rec: dict[str, list[tuple[int, int]]] = {}
+    for rec, text in e_class:
+        by_rec.setdefault(rec, []).append((len(text), len(set(text.split()))))
+    fewest = {}
+    for rec, rows in by_rec.items():
+        size, n = np.array(sorted(rows)).T
+        fewest[rec] = size, np.minimum.accumulate(n[::-1])[::-1]  # by length, the fewest words of any that is as long or longer
+    out = np.ones(len(t_class), np.int64)
+    for i, (rec, text) in enumerate(t_class):
+        size, n = fewest[rec]
+        k = int(np.searchsorted(size, threshold * len(text) - 1e-6))
+        if k < len(n):
+            out[i] = max(1, int(np.ceil(SHARED_WORDS / 2 * min(len(set(text.split())), int(n[k])) - 1e-6)))
+    return out
+
+
+def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILARITY) -> pd.DataFrame:
     """Near-same pairs of one shard: ``(eval_id, row_id, split, source, words, similarity)``."""
     none = pd.DataFrame({"eval_id": np.zeros(0, np.int64), "row_id": np.zeros(0, np.int64), "split": np.zeros(0, object), "source": np.zeros(0, object), "words": np.zeros(0, np.int64), "similarity": np.zeros(0)})
     none[["split", "source"]] = none[["split", "source"]].astype(object)
@@ -154,29 +180,25 @@ def find_overlaps(ev: pd.DataFrame, tr: pd.DataFrame, threshold: float = SIMILAR
     query = np.repeat(np.arange(len(t_class)), sizes)
     first = np.cumsum(sizes) - sizes
     syms = np.array(flat, np.int64)
-    known = np.bincount(query, syms > 0, len(t_class))
-    syms = np.where((known >= coverage * sizes)[query], syms, 0)  # a near copy has that many words of the recording
-    seed = np.where(sizes <= SHORT, 1, SEED)
+    # a word counts once a question, as the rule of near copies is of distinct words
+    once = np.zeros(len(syms), bool)
+    once[np.unique(query * (len(symbol) + 1) + syms, return_index=True)[1]] = True
+    end, lo, hi = index.matches(np.where(once, syms, 0), first[query], 1)
+    q_of = query[end]
+    # A near copy shares at least `least` of a question's words; so it is among those of the rarest that are more than the rest.
+    least = _least(e_class, t_class, threshold)
+    order = np.lexsort((hi - lo, q_of))
+    q_s = q_of[order]
+    new = np.r_[True, q_s[1:] != q_s[:-1]] if len(q_s) else np.zeros(0, bool)
+    at = np.arange(len(q_s)) - np.maximum.accumulate(np.where(new, np.arange(len(q_s)), 0))
+    have = np.bincount(q_of, minlength=len(t_class))
+    need = order[at <= (have - least)[q_s]]
     seen: dict[tuple[int, int], int] = {}
-    for size in np.unique(seed[sizes > 0]).tolist():
-        end, lo, hi = index.matches(np.where((seed == size)[query], syms, 0), first[query], size)
-        q_of = query[end]
-        start = end - size + 1 - first[q_of]
-        # A near copy shares at least `least` of a question's places; so it is among those of the rarest that are more than the rest.
-        places = sizes - size + 1
-        least = np.ceil(coverage_places * places).astype(np.int64)
-        order = np.lexsort((hi - lo, q_of))
-        q_s = q_of[order]
-        new = np.r_[True, q_s[1:] != q_s[:-1]] if len(q_s) else np.zeros(0, bool)
-        at = np.arange(len(q_s)) - np.maximum.accumulate(np.where(new, np.arange(len(q_s)), 0))
-        have = np.bincount(q_of, minlength=len(t_class))
-        need = order[(at <= (have - np.maximum(least, 1))[q_s]) & (have >= np.maximum(least, 1))[q_s]]
-        for part in _by_query(need, q_of, hi - lo):
-            n = (hi - lo)[part]
-            where = np.repeat(lo[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            q, d, got = _spans(np.repeat(q_of[part], n), index.docs[where].astype(np.int64), np.repeat(start[part], n), np.full(n.sum(), size))
-            for x, y, c in zip(q.tolist(), d.tolist(), got.tolist(), strict=True):
-                seen[(x, y)] = c
+    for part in _by_query(need, q_of, hi - lo):
+        n = (hi - lo)[part]
+        where = np.repeat(lo[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        q, d, got = _spans(np.repeat(q_of[part], n), index.docs[where].astype(np.int64), np.repeat((end - first[q_of])[part], n), np.ones(n.sum(), np.int64))
+        seen.update(zip(zip(q.tolist(), d.tolist(), strict=True), got.tolist(), strict=True))
     found = []
     for (a, b), got in seen.items():
         s = near(e_class[b][1].split(), t_class[a][1].split(), threshold)
@@ -195,7 +217,7 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, threshold: float =
     """Pairs of an evaluation sample and a training row with the same recording and nearly the same question.
 
     ``evals`` has ``eval_id, split, video, question``, ``train`` has ``row_id, data_source, video, question``. Returns ``(eval_id,
-    row_id, split, source, words, similarity)``: ``words`` is the merged length of located matches, ``similarity`` that of the
+    row_id, split, source, words, similarity)``: ``words`` is the number of located words, ``similarity`` that of the
     whole questions. Pairs whose numbers differ are no pairs. Rows without recording or question, and questions without a
     letter or digit, give nothing; every copy gives its own pair; empty tables give no rows; other columns are not read.
 
