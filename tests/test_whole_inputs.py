@@ -73,3 +73,9 @@ def test_questions_beyond_ascii(run):
     texts = ["The  cat, an Owl!", "“The” cat—an owl？", "The　cat", "a b", "which\r\n\tof the", "x\x1cy\x85the\x1f", "thé cat", "a² the", "①the a", "the‿", "中the国", "İ the", ""]
     rows = run("qa_normal", "example_eval", "eval_id long, question string", list(enumerate([*texts, None])))
     assert {r.eval_id: r.norm for r in rows} == {i: normal(t) for i, t in enumerate(texts)}
+
+
+def test_long_numbers_in_file_names_keep_their_row(run):
+    cases = {"run7/clip_12.jsonl": ("run7", 12), "run7/" + "9" * 17 + ".jsonl": ("run7", 10**17 - 1), "run7/9223372036854775807": ("run7", 2**63 - 1), "run7/9223372036854775808.x": ("run7", None), "a/" + "1" * 40: ("a", None), "x/none": ("x", None), "5": (None, 5)}
+    rows = run("task_and_step", "example_train_rl", "row_id long, video string", list(enumerate([*cases, None])))
+    assert {r.row_id: (r.task, r.step) for r in rows} == dict(enumerate(cases.values()))

@@ -144,9 +144,9 @@ def metric_rows(df: DataFrame, step: Column, metrics: list[str]) -> DataFrame:
 
 
 def task_and_step(path: Column) -> Column:
-    """``STRUCT<task, step>``: the folder of a file and the last number of its base name."""
+    """``STRUCT<task, step>``: the folder of a file and the last number of its base name, null if that is no long."""
     parts = F.split(path, "/")
-    step = F.nullif(F.regexp_extract(F.element_at(parts, -1), r"(\d+)(?!.*\d)", 1), F.lit("")).cast("long")
+    step = F.nullif(F.regexp_extract(F.element_at(parts, -1), r"(\d+)(?!.*\d)", 1), F.lit("")).try_cast("long")
     return F.struct(F.try_element_at(parts, F.lit(-2)).alias("task"), step.alias("step"))
 
 
