@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+OFFSETS = (-5, -4, -3, -2, -1, 0, 1, 2, 3)
 PAD, BOS, EOS = "\x00pad", "\x00bos", "\x00eos"
 FORBIDDEN = -1e4
 
@@ -33,7 +33,7 @@ class Crf:
         self.rows: dict[str, np.ndarray] = {}
 
     # -- training
-    def fit(self, units: list[list[str]], labels: list[list[int]], epochs: int = 14, batch: int = 96, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> Crf:
+    def fit(self, units: list[list[str]], labels: list[list[int]], epochs: int = 10, batch: int = 96, rate: float = 0.05, decay: float = 5e-4, seed: int = 1) -> Crf:
         n, k = len(self.labels), len(OFFSETS)
         count: dict[str, int] = {}
         vocab = sorted({u for s in units for u in s} | {PAD, BOS, EOS})
@@ -54,6 +54,7 @@ class Crf:
         rng, step = np.random.default_rng(seed), 0
         order = np.array(sorted(range(len(units)), key=lambda i: (len(units[i]), i)))
         parts = [order[i : i + batch] for i in range(0, len(order), batch)]
+        mean_w, mean_t, taken = np.zeros_like(w), np.zeros_like(t), 0  # the weights of the last third of the epochs, averaged
         for epoch in range(epochs):
             for p in rng.permutation(len(parts)):
                 part = parts[p]
@@ -82,6 +83,9 @@ class Crf:
                     a += 0.1 * (g - a)
                     b += 0.01 * (g * g - b)
                     x -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            if epoch >= epochs * 2 // 3:
+                mean_w, mean_t, taken = mean_w + w, mean_t + t, taken + 1
+        w, t = mean_w / max(1, taken), mean_t / max(1, taken)
         self.w, self.t = w, (t + self.ban).astype(np.float32)
         return self
 
@@ -104,23 +108,24 @@ class Crf:
         return ids, mask
 
     def _gradient(self, e: np.ndarray, t: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected minus observed counts of emissions and transitions."""
+        """Expected minus observed counts of emissions and transitions, by scaled forward and backward products."""
         rows, width, n = e.shape
-        lse = lambda x, axis: (mx := x.max(axis, keepdims=True), np.log(np.exp(x - mx).sum(axis)) + mx.squeeze(axis))[1]
-        alpha, beta = np.zeros((rows, width, n)), np.zeros((rows, width, n))
-        alpha[:, 0] = e[:, 0] + self.ban0
+        move = np.exp(np.clip(t, -80, 80)).astype(np.float64)
+        look = np.exp(e - e.max(2, keepdims=True)).astype(np.float64)
+        alpha, beta, norm = np.zeros((rows, width, n)), np.ones((rows, width, n)), np.ones((rows, width))
+        now = look[:, 0] * (self.ban0 == 0)
+        alpha[:, 0] = now / now.sum(1, keepdims=True)
         for i in range(1, width):
-            nxt = lse(alpha[:, i - 1][:, :, None] + t, 1) + e[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], nxt, alpha[:, i - 1])
-        z = lse(alpha[:, -1], 1)
+            on = mask[:, i]
+            now = (alpha[:, i - 1] @ move) * look[:, i]
+            norm[:, i] = np.where(on, now.sum(1), 1.0)
+            alpha[:, i] = np.where(on[:, None], now / norm[:, i, None], alpha[:, i - 1])
         g_t = np.zeros((n, n))
         for i in range(width - 2, -1, -1):
-            into = e[:, i + 1] + beta[:, i + 1]
-            back = lse(t[None] + into[:, None, :], 2)
-            beta[:, i] = np.where(mask[:, i + 1, None], back, 0.0)
-            pair = np.exp(np.clip(alpha[:, i][:, :, None] + t + into[:, None, :] - z[:, None, None], -80, 0)) * mask[:, i + 1, None, None]
-            g_t += pair.sum(0)
-        g_e = np.exp(np.clip(alpha + beta - z[:, None, None], -80, 0)) * mask[:, :, None]
+            into = look[:, i + 1] * beta[:, i + 1] / norm[:, i + 1, None] * mask[:, i + 1, None]
+            beta[:, i] = np.where(mask[:, i + 1, None], into @ move.T, 1.0)
+            g_t += move * (alpha[:, i].T @ into)
+        g_e = alpha * beta * mask[:, :, None]
         r, c = np.nonzero(mask)
         g_e[r, c, gold[r, c]] -= 1
         both = mask[:, 1:]
@@ -152,30 +157,42 @@ class Crf:
             while to < len(order) and len(ids[order[to]]) * (to + 1 - at) <= cells:
                 to += 1
             part = order[at:to]
-            grid, mask = self._grid([ids[i] for i in part], 0, 1, 2)
-            width = mask.shape[1]
-            e = table[grid[:, 0:width], 0]
-            for j in range(1, k):
-                e += table[grid[:, j : j + width], j]
-            best = self._viterbi(e, mask)
+            best = self._viterbi(table, *self._grid([ids[i] for i in part], 0, 1, 2))
             for r, i in enumerate(part):
                 out[i] = best[r, : len(ids[i])]
             at = to
         return out
 
-    def _viterbi(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        rows, width, n = e.shape
+    def _viterbi(self, table: np.ndarray, grid: np.ndarray, mask: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+        """Best paths. Emissions are looked up chunk by chunk and scores carried over, so that a sequence of any length is decoded whole."""
+        (rows, width), (k, n) = mask.shape, table.shape[1:]
         back = np.zeros((width, rows, n), np.int8)
-        score = e[:, 0] + self.ban0
         into = [np.flatnonzero(self.t[:, c] > FORBIDDEN / 2) for c in range(n)]
-        for i in range(1, width):
-            new = np.empty_like(score)
-            for c in range(n):
-                cand = score[:, into[c]] + self.t[into[c], c]
-                arg = cand.argmax(1)
-                back[i, :, c] = into[c][arg]
-                new[:, c] = cand[np.arange(rows), arg]
-            score = np.where(mask[:, i, None], new + e[:, i], score)
+        every = np.arange(rows)
+        score = np.zeros((rows, n), np.float32)
+        for lo in range(0, width, chunk):
+            hi = min(width, lo + chunk)
+            e = table[grid[:, lo:hi], 0]
+            for j in range(1, k):
+                e += table[grid[:, lo + j : hi + j], j]
+            for i in range(lo, hi):
+                if i == 0:
+                    score = e[:, 0] + self.ban0
+                    continue
+                if rows < 32:
+                    cand = score[:, :, None] + self.t
+                    arg = cand.argmax(1)
+                    back[i] = arg
+                    new = np.take_along_axis(cand, arg[:, None, :], 1)[:, 0]
+                else:
+                    new = np.empty_like(score)
+                    for c in range(n):
+                        cand = score[:, into[c]] + self.t[into[c], c]
+                        arg = cand.argmax(1)
+                        back[i, :, c] = into[c][arg]
+                        new[:, c] = cand[every, arg]
+                score = np.where(mask[:, i, None], new + e[:, i - lo], score)
+            score = score - score.max(1, keepdims=True)  # only differences matter; sums of long texts would lose digits
         length = mask.sum(1)
         best = np.zeros((rows, width), np.int8)
         cur = score.argmax(1)
@@ -183,5 +200,5 @@ class Crf:
             here = i < length
             best[here, i] = cur[here]
             step = here & (i > 0)
-            cur = np.where(step, back[i, np.arange(rows), cur], cur)
+            cur = np.where(step, back[i, every, cur], cur)
         return best
