@@ -79,8 +79,8 @@ def test_hot_recording_in_blocks(spark, monkeypatch):
     tr = [(1000 + i, "s", "hot.mp4" if i % 3 else f"r{i}.mp4", q.replace(q.split()[5], "changed", 1)) for i, q in enumerate(qs)]
     plain = found(spark, ev, tr)
     assert plain == [(i, 1000 + i) for i in range(150)]
-    monkeypatch.setattr(O, "SHARD_ROWS", 20)
-    monkeypatch.setattr(O, "TRAIN_ROWS", 30)
+    monkeypatch.setattr(O, "EVAL_CLASSES", 20)
+    monkeypatch.setattr(O, "TRAIN_CLASSES", 30)
     assert found(spark, ev, tr) == plain
 
 
@@ -100,7 +100,7 @@ def test_find_overlaps_is_whole():
     tr = pd.DataFrame([(i, "s", f"r{i % 7}", edit(w)) for i, w in enumerate(base * 3)], columns=["row_id", "source", "rec", "q"])
     got = {(r.eval_id, r.row_id) for r in O.find_overlaps(ev, tr).itertuples()}
     want = {(e.eval_id, t.row_id) for e in ev.itertuples() for t in tr.itertuples() if e.rec == t.rec and O.near(e.q.split(), t.q.split()) is not None}
-    assert len(got & want) >= 0.97 * len(want) and not got - want
+    assert got == want
 
 
 @pytest.fixture(scope="module")

@@ -42,6 +42,7 @@ class FmIndex:
         sa = suffix_array(text)
         doc = np.repeat(np.arange(len(docs)), sizes)
         self.docs = doc[sa].astype(np.int32)
+        self.places = (sa - (ends - sizes)[doc[sa]]).astype(np.int32)
         self.keys = np.sort(text[sa - 1] * self.n + np.arange(self.n))
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,14 +53,22 @@ class FmIndex:
     def matches(self, queries: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matches of ``length`` symbols of concatenated queries, as ``(end, lo, hi)``; ends are positions in ``queries``.
 
-        ``starts`` holds the first position of each position's query; symbols under 1 match nothing. A longer match of a
-        document is a sequence of these at consecutive ends, so merging the ends of a document gives its maximal matches.
+        ``starts`` holds the first position of each position's query; symbols under 1 match nothing.
         """
         end = np.flatnonzero((queries > 0) & (np.arange(len(queries)) - starts >= length - 1))
-        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
-        for back in range(length):
-            symbol = queries[end - back]
-            lo, hi = self.step(symbol, lo, hi)
-            live = (hi > lo) & (symbol > 0)
-            end, lo, hi = end[live], lo[live], hi[live]
-        return end, lo, hi
+        return self.search(queries, end, np.full(len(end), length, np.int64))
+
+    def search(self, queries: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pieces of ``length`` symbols that end at the given positions, those that occur, as ``(end, lo, hi)``."""
+        lo, hi, found = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64), np.ones(len(end), bool)
+        for back in range(int(length.max(initial=0))):
+            go = np.flatnonzero(found & (length > back))
+            symbol = queries[end[go] - back]
+            lo[go], hi[go] = self.step(symbol, lo[go], hi[go])
+            found[go] = (hi[go] > lo[go]) & (symbol > 0)
+        return end[found], lo[found], hi[found]
+
+    def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For intervals: the number of the interval and the row of the index of every occurrence."""
+        n = hi - lo
+        return np.repeat(np.arange(len(n)), n), np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())

@@ -10,7 +10,7 @@ HOT_SHARE = 1 / 2000
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, row_id: str, total: int, hashed: bool = False) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row a key, with its row ``count``), salted for large groups.
+    """Inner join of ``rows`` with ``groups`` (with the row ``count`` of each key), salted for large groups.
 
     Groups of more than ``max(ROWS_A_TASK, total * HOT_SHARE)`` rows - at most ``1 / HOT_SHARE`` of them, which bounds what is
     broadcast - are spread over as many salts as they have such shares of rows; the rest join under salt 0. With ``hashed`` the
@@ -20,7 +20,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, row_
     limit = max(ROWS_A_TASK, int(total * HOT_SHARE))
     salts = F.ceil(F.col(count) / limit).cast("int")
     if total > limit:
-        hot = groups.where(F.col(count) > limit).select(*keys, salts.alias("_salts"))
+        hot = groups.where(F.col(count) > limit).select(*keys, salts.alias("_salts")).dropDuplicates(keys)
         rows = rows.join(F.broadcast(hot), keys, "left")
         rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
         groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))

@@ -38,8 +38,10 @@ P5_FOUND = f"""WITH e AS (SELECT eval_id, {recording('video')} AS rec, {_WORDS.f
  SELECT eval_id, row_id FROM s WHERE (s >= 0.85 OR (s >= 0.68 AND w >= 0.8)) AND {_NUMBERS.format('a')} = {_NUMBERS.format('b')}"""
 
 _LABEL = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[_\-\s]', '_', 'g')"
+P5_REPORT = f"""WITH f AS ({P5_FOUND}), p AS (SELECT split, {_LABEL.format('data_source')} AS source, f.eval_id, f.row_id FROM f JOIN example_eval USING (eval_id) JOIN example_train_rl USING (row_id))
+ SELECT split, source, count(*) AS pairs, count(DISTINCT eval_id) AS eval_samples, count(DISTINCT row_id) AS train_rows FROM p GROUP BY split, source"""
 P6_FOUND = f"""WITH l AS (SELECT 'question_type' AS f, question_type AS v FROM example_train_rl UNION ALL SELECT 'data_source', data_source FROM example_train_rl UNION ALL SELECT 'ability', ability FROM example_train_rl),
  c AS (SELECT f, {_LABEL.format('v')} AS k, count(*) AS n FROM l WHERE v IS NOT NULL GROUP BY 1, 2)
  SELECT field_name, category FROM category_targets LEFT JOIN c ON f = field_name AND k = {_LABEL.format('category')} WHERE coalesce(n, 0) < greatest(min_rows, target_share * floor(0.2 * (SELECT count(*) FROM example_train_rl)))"""
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND}
