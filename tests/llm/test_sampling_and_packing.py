@@ -3,10 +3,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewright.llm.balance import cube_sample, flight
+from tracewright.llm.balance import cube_sample, cube_samples, flight, planned_rows
 from tracewright.llm.mixing import mix, water_fill
-from tracewright.llm.packing import differencing, fill, pack
-from tracewright.llm.tokens import PIECE, count_tokens
+from tracewright.llm.packing import differencing, fill, over_capacity, pack
+from tracewright.llm.tokens import VOCABULARY, count_tokens, encoder
 
 
 @given(st.lists(st.tuples(st.integers(0, 4), st.floats(0.01, 0.99)), max_size=200), st.integers(0, 9))
@@ -55,7 +55,7 @@ def test_cube_short_and_empty(spark):
     sample, report = cube_sample(df.where("false"), "row_id", "kind", targets(spark))
     assert sample.count() == 0 and all(r["short"] for r in report.collect())
     same = rows(spark, [(1, "a")] * 300)
-    assert cube_sample(same, "row_id", "kind", targets(spark))[0].count() == 30
+    assert cube_sample(same, "row_id", "kind", targets(spark))[0].count() == 60  # the whole fifth: the other two have no rows
 
 
 def test_differencing_and_fill():
@@ -75,23 +75,66 @@ def test_differencing_and_fill():
 def test_pack(spark):
     texts = [(i, "word " * (i * 13 % 400), "clash") for i in range(300)] + [(1000, "word " * 5000, "x"), (1001, None, "x"), (1002, "", "x"), (1003, "same text", "x"), (1003, "same text", "x")]
     df = spark.createDataFrame(texts, "doc_id long, text string, id string").repartition(3)
+    want = {i: count_tokens(t) for i, t, _ in texts}
     got = pack(df, "doc_id", "text", 512, windows=8).toPandas()
     per = got.groupby("container")["tokens"].sum()
     assert per.max() <= 512 and got[got.tokens > 0].groupby("container").tokens.sum().mean() > 440
-    want = {i: count_tokens(t) for i, t, _ in texts}
     assert got[got.doc_id != 1003].groupby("doc_id").tokens.sum().to_dict() == {k: v for k, v in want.items() if k != 1003}
-    assert len(got[got.doc_id == 1003]) == 2 and set(got[got.pieces > 1].doc_id) == {1000}
-    assert (got[got.pieces == 1].groupby("doc_id").container.nunique().drop(1003) == 1).all()
+    assert sorted(got[got.doc_id == 1003].occurrence) == [1, 2] and set(got[got.piece > 0].doc_id) == {1000}
+    assert (got[got.doc_id != 1000].groupby(["doc_id", "occurrence"]).container.nunique() == 1).all()
+    assert [tuple(r) for r in over_capacity(pack(df, "doc_id", "text", 512, windows=8), "doc_id").collect()] == [(1000, got[got.doc_id == 1000].container.nunique(), want[1000])]
     assert pack(df.where("false"), "doc_id", "text").count() == 0
 
 
 def test_token_counts_of_long_texts():
-    text = "The quick brown fox jumps over it. " * (3 * PIECE // 35)
-    import tracewright.llm.tokens as T
-
-    whole = len(T.encoder(T.VOCABULARY).encode_ordinary(text))
-    assert count_tokens(text) == whole and count_tokens(None) == count_tokens("") == 0
-    assert count_tokens("x" * (2 * PIECE)) > 0
+    million = 1 << 20
+    for text in ("The quick brown fox jumps over it. " * (3 * million // 35), "0123456789" * (million // 10 + 2500), "x" * (2 * million), "a\u00a0b " * (million // 2), "!?" * million):
+        assert count_tokens(text) == len(encoder(VOCABULARY).encode_ordinary(text)) > 0
+    assert count_tokens(None) == count_tokens("") == 0
+
+
+def test_planned_rows():
+    assert planned_rows([1000, 500, 50], [0.5, 0.3, 0.2], [0, 0, 0], 300) == pytest.approx([250 * 0.625, 250 * 0.375, 50])
+    assert planned_rows([1000, 500, 50], [0.5, 0.3, 0.2], [0, 0, 40], 100) == pytest.approx([60 * 0.625, 60 * 0.375, 40])
+    assert planned_rows([10, 5], [0.5, 0.5], [0, 0], 100) == [10, 5] and planned_rows([0, 0], [0.5, 0.5], [3, 0], 0) == [0, 0]
+    assert planned_rows([100, 45], [0.5, 0.5], [0, 0], 100) == pytest.approx([55, 45]) and planned_rows([], [], [], 10) == []
+
+
+def test_results_do_not_depend_on_files(spark):
+    items = [(i, ["a", " B_B", "c", None, "d"][(i * 7) % 5 if i % 10 else 2]) for i in range(3000)]
+    docs = spark.createDataFrame([(i % 900, "word " * (i * 7 % 300), ["x", "y", None][i % 3]) for i in range(1000)], "doc_id long, text string, source string")
+    tg = spark.createDataFrame([("x", 0.7, 2), ("y", 0.3, 3)], "source string, target_weight double, max_repeats int")
+    got = []
+    for n in (1, 8):
+        df = rows(spark, items).repartition(n)
+        sample, report = cube_samples(df, "row_id", ["kind"], targets(spark))
+        packed = pack(docs.repartition(n), "doc_id", "text", 512, windows=8)
+        mixed, _ = mix(docs.repartition(n), "doc_id", "text", "source", tg)
+        got.append([sorted(map(tuple, x.collect()), key=str) for x in (sample, report, packed, mixed)])
+    assert got[0] == got[1] and all(got[0])
+
+
+def test_sample_keeps_its_size(spark, monkeypatch):
+    import tracewright.llm.balance as B
+
+    monkeypatch.setattr(B, "NODE_ROWS", 40)
+    monkeypatch.setattr(B, "FAN_IN", 4)
+    items = [(i, "a" if i % 3 else "b-b" if i % 2 else "c") for i in range(4000)]
+    t = [("kind", "a", 0.37, 5), ("kind", "b_b", 0.213, 5), ("kind", "c", 0.4, 40), ("kind", "none", 0.017, 1)]
+    sample, report = cube_samples(rows(spark, items).repartition(6), "row_id", ["kind"], targets(spark, t))
+    rep = {r["category"]: r for r in report.collect()}
+    assert sample.count() == 800 == sum(r["drawn"] for r in rep.values())
+    assert all(abs(r["residual"]) < 1 for r in rep.values()) and [c for c, r in rep.items() if r["short"]] == ["none"]
+
+
+def test_unused_space_is_small():
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in np.minimum(2040, rng.lognormal(5.6, 0.8, 1500))]
+    parts = fill(sizes, 2048)
+    assert sorted(i for p in parts for i in p) == list(range(1500)) and max(sum(sizes[i] for i in p) for p in parts) <= 2048
+    assert 1 - sum(sizes) / (2048 * len(parts)) < 0.01
+    big = fill([1100] * 50, 2048)
+    assert len(big) == 50
 
 
 def test_water_fill():

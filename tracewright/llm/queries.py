@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.balance import cube_sample
+from tracewright.llm.balance import cube_samples
 from tracewright.llm.copies import collapse_copies, copy_groups, sample_items
 from tracewright.llm.mixing import mix
 from tracewright.llm.overlap import cross_split_overlaps
-from tracewright.llm.packing import pack
+from tracewright.llm.packing import CAPACITY, over_capacity, pack
 from tracewright.llm.pii import find_pii, mask_pii
 from tracewright.llm.runs import field_runs, step_runs
 from tracewright.llm.sql import SQL as SQL
@@ -87,9 +87,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Available, wanted and drawn rows of every target."""
-    rows, targets = table(spark, sf_dir, "example_train_rl"), table(spark, sf_dir, "category_targets")
-    reports = [cube_sample(rows, "row_id", field, targets)[1] for field in ("question_type", "data_source", "ability")]
-    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+    return cube_samples(table(spark, sf_dir, "example_train_rl"), "row_id", ["question_type", "data_source", "ability"], table(spark, sf_dir, "category_targets"))[1]
 
 
 @_add
@@ -109,8 +107,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are larger than a container, from the packing of all documents."""
-    packed = pack(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return packed.where("pieces > 1").groupBy("doc_id").agg(F.max("pieces").alias("pieces")).select("doc_id")
+    return over_capacity(pack(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id").where(F.col("tokens") > CAPACITY).select("doc_id")
 
 
 @_add

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("TRACEWRIGHT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE = 1 << 20
 _LOADED: dict = {}
 
 
@@ -29,22 +28,8 @@ def encoder(path: str):
 
 
 def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of a whole text; null and empty texts have none. Very long texts are encoded line group by line group."""
-    if not text:
-        return 0
-    enc = encoder(path)
-    if len(text) <= PIECE:
-        return len(enc.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        to = min(len(text), at + PIECE)
-        if to < len(text):
-            # a letter before a blank that is followed by a letter is always a boundary of the split pattern
-            cut = next((i for i in range(to, at + 1, -1) if text[i] == " " and text[i - 1].isalpha() and text[i + 1 : i + 2].isalpha()), to)
-            to = cut
-        total += len(enc.encode_ordinary(text[at:to]))
-        at = to
-    return total
+    """Tokens of a whole text, encoded in one go whatever its length; null and empty texts have none."""
+    return len(encoder(path).encode_ordinary(text)) if text else 0
 
 
 def token_sizes(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), path: str = VOCABULARY) -> DataFrame:
@@ -59,6 +44,9 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
     return kept.mapInPandas(count, ", ".join([*fields, "tokens long"]))
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """A key per row of a written table, so that repeated rows stay apart."""
-    return df.withColumn("uid", F.monotonically_increasing_id())
+def with_occurrence(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a number ``occurrence`` among the rows that are equal in ``keys``: counted, then written out again.
+
+    Equal rows are interchangeable, so nothing depends on the order or the files that they came in.
+    """
+    return sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("occurrence", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
