@@ -1,9 +1,11 @@
-import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from tracewright.llm import copies as C
 from tracewright.llm import groups as G
-from tracewright.llm.splits import assign_splits, components, recording_components
+from tracewright.llm import splits as S
+from tracewright.llm.splits import assign_splits, components, place, recording_components, split_report
 from tracewright.llm.text import label_key, loose_path, loose_text, recording_key
 
 SCHEMA = "row_id long, question string, video string, answer string, h1 long, n long, items string, label string"
@@ -78,8 +80,63 @@ def test_components_over_two_entities(spark):
     assert components(df.where("false"), "row_id", {"v": F.col("v"), "s": F.col("s")}).count() == 0
     chain = spark.createDataFrame([(i, f"v{i // 2}", f"s{(i + 1) // 2}") for i in range(24)], "row_id long, v string, s string")
     assert {r[1] for r in components(chain, "row_id", {"v": F.col("v"), "s": F.col("s")}).collect()} == {0}
-    with pytest.raises(RuntimeError):
-        components(chain, "row_id", {"v": F.col("v"), "s": F.col("s")}, max_rounds=2)
+
+
+def _roots(edges):
+    """Smallest member of each component, by union-find."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r, ents in edges.items():
+        for e in ents:
+            parent[find(("e", e))] = find(("r", r))
+    low = {}
+    for r in edges:
+        low[find(("r", r))] = min(low.get(find(("r", r)), r), r)
+    return {r: low[find(("r", r))] for r in edges}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain longer than any fixed number of rounds, in rising and in shuffled order, and a random graph."""
+    rounds = []
+    real = S._round
+    monkeypatch.setattr(S, "_round", lambda state: rounds.append(1) or real(state))
+    rng = random.Random(3)
+    for kind in ("rising", "shuffled", "random"):
+        rounds.clear()
+        ids = list(range(400))
+        if kind != "rising":
+            rng.shuffle(ids)
+        ends = [(i // 2, (i + 1) // 2) for i in range(400)] if kind != "random" else [(rng.randrange(300), rng.randrange(300)) for _ in range(400)]
+        rows = [(r, f"v{a}", f"s{b}") for r, (a, b) in zip(ids, ends, strict=True)]
+        df = spark.createDataFrame(rows, "row_id long, v string, s string")
+        got = {r[0]: r[1] for r in components(df, "row_id", {"v": F.col("v"), "s": F.col("s")}).collect()}
+        assert got == _roots({r: (v, s) for r, v, s in rows}) and len(rounds) <= 14, (kind, len(rounds))
+
+
+def test_placing_counts_every_label():
+    goal = {"a": {"x": 50.0, "y": 50.0}, "b": {"x": 50.0, "y": 50.0}}
+    groups = [{"a": 40, "b": 1}, {"a": 1, "b": 40}, {"a": 40, "b": 1}, {"a": 1, "b": 40}, {"a": 9}, {"b": 9}, {"a": 9}, {"b": 9}]
+    got = place(groups, goal, ["x", "y"])
+    for lb in "ab":
+        assert sum(g.get(lb, 0) for g, s in zip(groups, got, strict=True) if s == "x") == 50
+    assert place([], {}, ["x"]) == []
+
+
+def test_split_report(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE_ROWS", 60)
+    rng = random.Random(8)
+    rows = [(i, f"rec{'abcdefghij'[i % 10]}{rng.randrange(60)}x", rng.choice(["MCQ", "TR", "SIZE", None])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "row_id long, video string, kind string")
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    got = assign_splits(df, "row_id", recording_components(df, "row_id"), F.col("kind"), shares)
+    report = split_report(df, "row_id", got, F.col("kind"), shares).collect()
+    assert len(report) == 12 and sum(r["n"] for r in report) == 5000 and max(abs(r["deviation"]) for r in report) < 0.02
 
 
 def test_split_shares(spark):

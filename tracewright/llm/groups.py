@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_A_TASK = 200_000
-HOT_SHARE = 1 / 2000
+HOT_SHARE = 1 / 20_000
+HASHED_ROWS = 500_000
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, row_id: str, total: int, hashed: bool = False) -> DataFrame:
@@ -14,9 +15,15 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, row_
 
     Groups of more than ``max(ROWS_A_TASK, total * HOT_SHARE)`` rows - at most ``1 / HOT_SHARE`` of them, which bounds what is
     broadcast - are spread over as many salts as they have such shares of rows; the rest join under salt 0. With ``hashed`` the
-    groups' side of a partition is hashed in memory and nothing is sorted.
+    groups' side of a partition is hashed in memory and nothing is sorted; since such a table cannot spill, both sides are first put into
+    as many partitions as leave at most about ``HASHED_ROWS`` rows to one.
     """
-    kind = (lambda g: g.hint("shuffle_hash")) if hashed else (lambda g: g)
+    def join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        if not hashed:
+            return left.join(right, on)
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // HASHED_ROWS))
+        return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("shuffle_hash"), on)
+
     limit = max(ROWS_A_TASK, int(total * HOT_SHARE))
     salts = F.ceil(F.col(count) / limit).cast("int")
     if total > limit:
@@ -24,5 +31,5 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, row_
         rows = rows.join(F.broadcast(hot), keys, "left")
         rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
         groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-        return rows.join(kind(groups), [*keys, "_salt"]).drop("_salt")
-    return rows.join(kind(groups), keys)
+        return join(rows, groups, [*keys, "_salt"]).drop("_salt")
+    return join(rows, groups, keys)

@@ -15,8 +15,8 @@ from tracewright.llm.packing import CAPACITY, over_capacity, pack
 from tracewright.llm.pii import find_pii, mask_pii
 from tracewright.llm.runs import field_runs, step_runs
 from tracewright.llm.sql import SQL as SQL
-from tracewright.llm.splits import assign_splits, components, recording_components
-from tracewright.llm.text import label_key
+from tracewright.llm.splits import assign_splits, components, recording_components, split_report
+from tracewright.llm.text import label_key, recording_key
 from tracewright.session import materialize, table
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -70,6 +70,38 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(rows, "row_id", materialize(recording_components(rows, "row_id"), "comp"), label_key(F.col("question_type")), SPLIT_SHARES)
 
 
+@_add
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the share of each question type in each of the splits by recording is from the share of the split."""
+    rows = table(spark, sf_dir, "example_train_rl")
+    kind = label_key(F.col("question_type"))
+    return split_report(rows, "row_id", p4_splits(spark, sf_dir), kind, SPLIT_SHARES)
+
+
+@_add
+def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: rows and components of the splits by recording, components in more than one split, and whether every share is within a hundredth."""
+    got = materialize(p4_splits(spark, sf_dir), "splits")
+    per = got.groupBy("component").agg(F.countDistinct("split").alias("splits"))
+    share = [F.abs(F.avg((F.col("split") == s).cast("double")) - v) for s, v in SPLIT_SHARES.items()]
+    rows = got.agg(F.count(F.lit(1)).alias("n_rows"), (F.greatest(*share) <= 0.01).alias("near"))
+    comps = per.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.sum((F.col("splits") > 1).cast("long")), F.lit(0)).alias("torn"))
+    return rows.join(comps, F.lit(True)).select("n_rows", "components", "torn", "near")  # one row each
+
+
+@_add
+def p4_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over recordings and older trajectories together."""
+    rows = table(spark, sf_dir, "example_train_rl")
+    return components(rows, "row_id", {"video": recording_key(F.col("video")), "traj": F.col("extra_info.traj_id")})
+
+
+@_add
+def p4_linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over recordings and data sources together, with their rows: what shares a source hangs together."""
+    return recording_components(table(spark, sf_dir, "example_train_rl"), "row_id", with_source=True).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_add
 def p4_source_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits that keep a whole ``data_source`` together; with few sources the shares are as near as whole sources allow."""

@@ -2,13 +2,15 @@
 
 Records and entities (recordings, sources, authors) form a bipartite graph. The smallest record id is propagated over it until
 nothing changes; a component is then assigned to a split as a whole. With one entity column a component is one entity's
-records, so a single round is final; with more columns rounds follow until no label falls, each cut by a written table.
+records, so a single round is final; with more columns rounds of hooking and jumping follow until no label falls, each cut by a written
+table.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm.groups import attach
@@ -16,15 +18,18 @@ from tracewright.llm.text import label_key, recording_key
 from tracewright.session import materialize
 
 BIG_SHARE = 1 / 1000
-SLICES = 256
-MAX_LABELS = 10_000
+SLICE_ROWS = 50_000
+MAX_LABELS = 2_000
+JUMPS = 2
 
 
-def components(df: DataFrame, row_id: str, entities: dict[str, Column], max_rounds: int = 60) -> DataFrame:
+def components(df: DataFrame, row_id: str, entities: dict[str, Column]) -> DataFrame:
     """``(row_id, component)``: the smallest row id that is reachable over shared entities.
 
-    A null entity links nothing; a row without any entity is its own component. Labels only fall, so a fixed point is a
-    component; if ``max_rounds`` do not reach it an error is raised rather than a partial result returned.
+    A null entity links nothing; a row without any entity is its own component. With one entity column one round is final. With more, each
+    round gives every row the least label that it meets over its entities, hooks the row that a label names to the least that its
+    followers have met, and lets rows jump to the label of their label, so that a chain of ``n`` records takes about ``log n`` rounds.
+    The rounds end when no label falls; there is no bound on them.
     """
     named = [F.struct(F.lit(i).alias("kind"), e.cast("string").alias("value")) for i, e in enumerate(entities.values())]
     rows = df.select(F.col(row_id).alias("row_id"), F.filter(F.array(*named), lambda x: x["value"].isNotNull()).alias("ents")).where(F.col("row_id").isNotNull())
@@ -32,15 +37,23 @@ def components(df: DataFrame, row_id: str, entities: dict[str, Column], max_roun
     loose = rows.where(F.size("ents") == 0).select("row_id", F.col("row_id").alias("component"))
     if len(named) == 1:
         return _round(edges.withColumn("label", F.col("row_id"))).select("row_id", F.col("label").alias("component")).unionByName(loose)
-    state = materialize(edges.withColumn("label", F.col("row_id")), "label")
-    for _ in range(max_rounds):
-        by_ent = _round(state)
-        by_row = by_ent.groupBy("row_id").agg(F.min("label").alias("low"))
-        new = materialize(by_ent.join(by_row, "row_id").select("row_id", "ent", F.col("low").alias("label"), (F.col("low") < F.col("before")).alias("fell")), "label")
-        if not new.where("fell").limit(1).count():
-            return new.select("row_id", F.col("label").alias("component")).distinct().unionByName(loose)
-        state = new.drop("fell")
-    raise RuntimeError(f"labels still fall after {max_rounds} rounds")
+    edges = materialize(edges, "edges")
+    state = edges.withColumn("label", F.col("row_id"))
+    while True:
+        met = _round(state).groupBy("row_id", "before").agg(F.min("label").alias("low"))
+        met = materialize(met, "met")
+        if not met.where("low < before").limit(1).count():
+            return met.select("row_id", F.col("before").alias("component")).unionByName(loose)
+        # a label is a row: it is hooked to the least label that its followers have met
+        hooks = met.groupBy(F.col("before").alias("row_id")).agg(F.min("low").alias("hook"))
+        hooked = materialize(met.join(hooks, "row_id", "left").select("row_id", F.least("low", F.coalesce("hook", "low")).alias("label")), "hooked")
+        for _ in range(JUMPS):
+            # every row takes the label of its label
+            followers = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+            further = followers.join(hooked.select(F.col("row_id").alias("label"), F.col("label").alias("next")), "label")
+            total = followers.agg(F.sum("n")).first()[0] or 0
+            hooked = materialize(attach(hooked, further, ["label"], "n", "row_id", total).select("row_id", F.col("next").alias("label")), "jumped")
+        state = materialize(edges.join(hooked, "row_id"), "label")
 
 
 def _round(state: DataFrame) -> DataFrame:
@@ -50,58 +63,88 @@ def _round(state: DataFrame) -> DataFrame:
     return attach(state, low, ["ent"], "n", "row_id", total).select("row_id", "ent", F.col("low").alias("label"), F.col("label").alias("before"))
 
 
+def place(groups: list[dict[str, int]], goal: dict[str, dict[str, float]], names: list[str]) -> list[str]:
+    """A split for each group, given its rows per label, in the given order: the one that leaves the least squared deviation.
+
+    ``goal`` has the rows wanted per label and split. The deviation is summed over all labels of the group and that of its size.
+    Ties go to the first split.
+    """
+    labels = {lb: i for i, lb in enumerate(goal)}
+    left = np.array([[goal[lb][s] for s in names] for lb in goal], float).reshape(len(goal), len(names))
+    whole = left.sum(0)
+    out = []
+    for g in groups:
+        at, n = np.array([labels[lb] for lb in g], np.int64), np.array(list(g.values()), float)
+        size = n.sum()
+        # (left - n)^2 - left^2 over the labels, and the same for the size
+        cost = (n[:, None] * (n[:, None] - 2 * left[at])).sum(0) + size * (size - 2 * whole)
+        s = int(cost.argmin())
+        left[at, s] -= n
+        whole[s] -= size
+        out.append(names[s])
+    return out
+
+
 def assign_splits(df: DataFrame, row_id: str, component: DataFrame, label: Column, shares: dict[str, float], seed: int = 7) -> DataFrame:
     """``(row_id, component, split)`` with whole components in one split, sizes near ``shares`` and label shares near equal.
 
-    Components of more than ``BIG_SHARE`` of the rows (at most ``1 / BIG_SHARE`` of them) are given, largest first, to the split
-    in which they leave the least squared deviation from the targets per label. The others are ordered by hash within their
-    most frequent label and cut at the cumulative shares that are left; the running sums are taken per slice of the hash, so no
-    label is one task. Null labels are a label of their own; more than ``MAX_LABELS`` labels are an error.
+    A component counts with all its labels. Components of more than ``BIG_SHARE`` of the rows (at most ``1 / BIG_SHARE`` of them)
+    are placed first by :func:`place`, largest first. The others are dealt by hash into slices of about ``SLICE_ROWS`` rows of
+    component and label; each slice is placed likewise against its part of what the big ones have left. Null labels are a label of
+    their own; more than ``MAX_LABELS`` labels are an error.
     """
+    spark, names = df.sparkSession, list(shares)
     lab = df.select(F.col(row_id).alias("row_id"), F.coalesce(label.cast("string"), F.lit("")).alias("label"))
-    per = component.join(lab, "row_id").groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialize(per.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("label")), "sizes")
-    totals = {r["label"]: r["n"] for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()}
+    per = materialize(component.dropDuplicates(["row_id"]).join(lab, "row_id").groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")), "per")
+    totals = {r["label"]: r["n"] for r in per.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()}
     if len(totals) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels: stratify by a coarser column")
     total = sum(totals.values())
-    names = list(shares)
-    left = {lb: {s: n * shares[s] for s in names} for lb, n in totals.items()}
-    big_rows = sizes.where(F.col("n") > max(1, total * BIG_SHARE)).select("component", "n", "label").collect()
-    big: list[tuple] = []
-    for r in sorted(big_rows, key=lambda r: (-r["n"], r["component"])):
-        room = left[r["label"]]
-        overall = {s: sum(x[s] for x in left.values()) for s in names}
-        cost = lambda s, n=r["n"], room=room, o=overall: ((n - room[s]) ** 2 - room[s] ** 2) + ((n - o[s]) ** 2 - o[s] ** 2)
-        best = min(names, key=lambda s: (cost(s), names.index(s)))
-        room[best] -= r["n"]
-        big.append((r["component"], best))
-    spark = df.sparkSession
     kind = component.schema["component"].dataType.simpleString()
-    fixed = spark.createDataFrame(big, f"component {kind}, fixed string")
-    small = sizes.join(F.broadcast(fixed), "component", "left")
-    small = small.withColumn("h", F.xxhash64("component", F.lit(seed))).withColumn("slice", F.pmod("h", F.lit(SLICES)))
-    rest = small.where("fixed IS NULL")
-    per_slice = rest.groupBy("label", "slice").agg(F.sum("n").alias("in_slice"))
-    before = per_slice.select("label", "slice", (F.sum("in_slice").over(W.partitionBy("label").orderBy("slice")) - F.col("in_slice")).alias("before"))
-    run = rest.join(before, ["label", "slice"])
-    at = F.col("before") + F.sum("n").over(W.partitionBy("label", "slice").orderBy("h", "component")) - F.col("n") / 2
-    bounds = []
-    for lb, room in left.items():
-        up, room = 0.0, {s: max(0.0, v) for s, v in room.items()}
-        scale = (sum(room.values()) or 1.0)
-        here = totals[lb] - sum(r["n"] for r in big_rows if r["label"] == lb)
-        for s in names:
-            bounds.append((lb, s, here * up, here * (up + room[s] / scale)))
-            up += room[s] / scale
-    cuts = spark.createDataFrame(bounds or [("", names[0], 0.0, 0.0)], "label string, split string, lo double, hi double").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "split"))).alias("cuts"))
-    placed = run.withColumn("at", at).join(F.broadcast(cuts), "label")
-    hit = F.get(F.filter("cuts", lambda c: (c["lo"] <= F.col("at")) & (F.col("at") <= c["hi"]) & (c["hi"] > c["lo"])), F.lit(0))["split"]
-    comp = placed.select("component", F.coalesce(hit, F.lit(names[0])).alias("split")).unionByName(fixed.select("component", F.col("fixed").alias("split")))
-    sized = sizes.select("component", "n").join(comp, "component")
+    sizes = materialize(per.groupBy("component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")), "sizes")
+    big_of = sizes.where(F.col("n") > max(1, total * BIG_SHARE)).select("component", F.col("n").alias("size"))
+    big: dict = {}
+    for r in per.join(F.broadcast(big_of), "component").collect():  # at most 1 / BIG_SHARE components by MAX_LABELS labels
+        big.setdefault((-r["size"], r["component"]), {})[r["label"]] = r["n"]
+    order = sorted(big)
+    goal = {lb: {s: n * shares[s] for s in names} for lb, n in totals.items()}
+    placed = place([big[k] for k in order], goal, names)
+    fixed = spark.createDataFrame([(k[1], s) for k, s in zip(order, placed, strict=True)], f"component {kind}, split string")
+    for k, s in zip(order, placed, strict=True):
+        for lb, n in big[k].items():
+            goal[lb][s] -= n
+    # the part of every label's other rows that each split is still to get
+    part = {}
+    for lb, room in goal.items():
+        free = {s: max(0.0, v) for s, v in room.items()}
+        part[lb] = {s: v / (sum(free.values()) or 1.0) for s, v in free.items()}
+    n_rows = sizes.agg(F.coalesce(F.sum("labels"), F.lit(0))).first()[0]
+    slices = max(1, -(-n_rows // SLICE_ROWS))
+    small = per.join(F.broadcast(fixed.select("component")), "component", "left_anti").withColumn("slice", F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(slices)))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict = {}
+        for c, lb, n in zip(pdf["component"], pdf["label"], pdf["n"], strict=True):
+            groups.setdefault(c, {})[lb] = n
+        own = pdf.groupby("label")["n"].sum()
+        want = {lb: {s: n * part[lb][s] for s in names} for lb, n in sorted(own.items())}
+        ids = sorted(groups, key=lambda c: (-sum(groups[c].values()), c))
+        groups = {c: dict(sorted(groups[c].items())) for c in ids}
+        return pd.DataFrame({"component": ids, "split": place([groups[c] for c in ids], want, names)}).astype({"component": pdf["component"].dtype})
+
+    rest = small.groupBy("slice").applyInPandas(one, f"component {kind}, split string")
+    sized = sizes.select("component", "n").join(rest.unionByName(fixed), "component")
     return attach(component.select("row_id", "component"), sized, ["component"], "n", "row_id", total).select("row_id", "component", "split")
 
 
+def split_report(df: DataFrame, row_id: str, splits: DataFrame, label: Column, shares: dict[str, float]) -> DataFrame:
+    """Per label and split: rows, their share of the label, and how far that is from the split's share. Null labels are ``''``."""
+    lab = df.select(F.col(row_id).alias("row_id"), F.coalesce(label.cast("string"), F.lit("")).alias("label"))
+    per = lab.join(splits, "row_id").groupBy("label").pivot("split", list(shares)).agg(F.count(F.lit(1)))
+    long = per.select("label", F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.coalesce(F.col(s), F.lit(0)).alias("n"), F.lit(float(shares[s])).alias("wanted")) for s in shares))).alias("x"), sum((F.coalesce(F.col(s), F.lit(0)) for s in shares), F.lit(0)).alias("rows"))
+    return long.select("label", "x.split", "x.n", (F.col("x.n") / F.col("rows")).alias("share"), (F.col("x.n") / F.col("rows") - F.col("x.wanted")).alias("deviation"))
+
+
 def recording_components(df: DataFrame, row_id: str, with_source: bool = False) -> DataFrame:
     """Components over the recordings of ``video``, and over ``data_source`` too where asked for."""
     ents = {"video": recording_key(F.col("video"))} | ({"data_source": label_key(F.col("data_source"))} if with_source else {})
