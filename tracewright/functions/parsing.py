@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -237,20 +239,167 @@ def dapo_score(text: str | None, truth: str | None, strict_box: bool = False) ->
 
 
 def answers_equal(a: str | None, b: str | None, places: float = 1e-4) -> bool:
-    """Equality of final answers: normal text, numbers (percent, thousands), fractions, tuples and intervals member by member."""
+    """Equality of a given final answer ``a`` with the truth ``b``.
+
+    Equal normal texts are equal. Tuples and intervals have the same brackets and equal members, matrices equal cells. Two fractions
+    must be the same fraction: one that is not reduced is no match. A whole number matches whole numbers only. Other numbers are compared by
+    value (percent and thousands allowed), other expressions by their value at several points: sums, products, quotients, powers, roots
+    of numbers and letters.
+    """
     if a is None or b is None:
         return False
     na, nb = (re.sub(r"\\?%|\\\$|\$", "", math_normal(x.strip().rstrip("."))) for x in (a, b))
     if na == nb:
         return True
+    if not na or not nb:
+        return False
+    if "matrix}" in na or "matrix}" in nb:
+        ca, cb = _cells(na), _cells(nb)
+        return ca is not None and cb is not None and [len(r) for r in ca] == [len(r) for r in cb] and all(answers_equal(x, y, places) for r, t in zip(ca, cb, strict=True) for x, y in zip(r, t, strict=True))
+    ma, mb = (re.fullmatch(r"(?s)([\[(])([^\[\]()]*,[^\[\]()]*)([\])])", x) for x in (na, nb))
+    if ma or mb:
+        if not (ma and mb and (ma[1], ma[3]) == (mb[1], mb[3])):
+            return False
+        pa, pb = (re.split(r",(?!\d{3}(?!\d))", m[2]) if not re.search(r"\d,\d{3}(?!\d)", m[2]) else m[2].split(",") for m in (ma, mb))
+        return len(pa) == len(pb) and len(pa) > 1 and all(answers_equal(x, y, places) for x, y in zip(pa, pb, strict=True))
+    fa, fb = _fraction(na), _fraction(nb)
+    if fa and fb:
+        return fa == fb
     va, vb = _value(na), _value(nb)
+    if _whole(na) != _whole(nb) and va is not None and vb is not None:
+        # a whole number is matched by a whole number only; a percent sign may stand for the factor of a hundred
+        return ("%" in a) != ("%" in b) and any(abs(va - x) <= places * max(1.0, abs(x)) for x in (vb * 100, vb / 100))
     if va is not None and vb is not None:
         return any(abs(va - x) <= places * max(1.0, abs(x)) for x in (vb, vb * 100, vb / 100))
-    ma, mb = (re.fullmatch(r"(?s)([\[(])(.*)([\])])", x) for x in (na, nb))
-    if ma and mb and (ma[1], ma[3]) == (mb[1], mb[3]):
-        pa, pb = ma[2].split(","), mb[2].split(",")
-        return len(pa) == len(pb) and len(pa) > 1 and all(answers_equal(x, y, places) for x, y in zip(pa, pb, strict=True))
-    return False
+    return _whole(na) == _whole(nb) and _same_expression(na, nb)
+
+
+def _fraction(s: str) -> tuple[int, int] | None:
+    """Numerator and denominator of a fraction of whole numbers, as written."""
+    m = re.fullmatch(r"(-?)\\frac\{(-?\d+)\}\{(\d+)\}", s) or re.fullmatch(r"(-?)()(\d+)/(\d+)", s)
+    if not m:
+        return None
+    top, bottom = (m[2], m[3]) if m.lastindex == 3 else (m[3], m[4])
+    return (-1 if m[1] else 1) * int(top), int(bottom)
+
+
+def _whole(s: str) -> bool:
+    """Whether a text is a whole number, thousands marks allowed."""
+    return bool(re.fullmatch(r"-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.0*)?", s))
+
+
+def _cells(s: str) -> list[list[str]] | None:
+    """The cells of a LaTeX matrix, row by row."""
+    m = re.fullmatch(r"(?s)\\begin\{[pbv]?matrix\}(.*)\\end\{[pbv]?matrix\}", s)
+    return [[c.strip() for c in row.split("&")] for row in re.split(r"\\(?![a-zA-Z])", m[1]) if row.strip()] if m else None
+
+
+_TOKEN = re.compile(r"\\(?:frac|sqrt|cdot|times|div|pi|left|right)|\d+(?:\.\d+)?|[a-zA-Z]|[-+*/^(){}\[\]]")
+
+
+class _Expression:
+    """An expression of numbers, letters, sums, products, quotients, powers and roots, evaluated at given values of its letters."""
+
+    def __init__(self, text: str):
+        text = re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", text)
+        self.tokens, end = [], 0
+        for m in _TOKEN.finditer(text):
+            if m.start() != end:
+                raise ValueError("a sign that is none of an expression")
+            self.tokens.append(m[0])
+            end = m.end()
+        if end != len(text) or not self.tokens:
+            raise ValueError("a sign that is none of an expression")
+        self.letters = {t for t in self.tokens if len(t) == 1 and t.isalpha()}
+
+    def at(self, values: dict[str, complex]) -> complex:
+        self.i, self.values = 0, values
+        out = self._sum()
+        if self.i != len(self.tokens):
+            raise ValueError("something is left")
+        return out
+
+    def _peek(self) -> str:
+        return self.tokens[self.i] if self.i < len(self.tokens) else ""
+
+    def _take(self, want: str | None = None) -> str:
+        t = self._peek()
+        if not t or (want and t != want):
+            raise ValueError("another sign was expected")
+        self.i += 1
+        return t
+
+    def _sum(self) -> complex:
+        sign = -1 if self._peek() == "-" else 1
+        if self._peek() in ("+", "-"):
+            self._take()
+        out = sign * self._product()
+        while self._peek() in ("+", "-"):
+            out = out + self._product() if self._take() == "+" else out - self._product()
+        return out
+
+    def _product(self) -> complex:
+        out = self._power()
+        while (t := self._peek()) and t not in "+-)}]":
+            if t in ("/", "\\div"):
+                self._take()
+                out = out / self._power()
+            else:
+                if t in ("*", "\\cdot", "\\times"):
+                    self._take()
+                out = out * self._power()
+        return out
+
+    def _power(self) -> complex:
+        base = self._atom()
+        if self._peek() == "^":
+            self._take()
+            sign = -1 if self._peek() == "-" else 1
+            if sign < 0:
+                self._take()
+            exponent = sign * self._atom()
+            if abs(exponent) > 400:
+                raise ValueError("a power too large")
+            return base**exponent
+        return base
+
+    def _atom(self) -> complex:
+        t = self._take()
+        if t == "-":
+            return -self._atom()
+        if t in "({[" and t:
+            out = self._sum()
+            self._take({"(": ")", "{": "}", "[": "]"}[t])
+            return out
+        if t == "\\frac":
+            top = self._atom()
+            return top / self._atom()
+        if t == "\\sqrt":
+            degree = 2
+            if self._peek() == "[":
+                degree = self._atom()
+            return self._atom() ** (1 / degree)
+        if t == "\\pi":
+            return complex(math.pi)
+        if t in self.values:
+            return self.values[t]
+        return complex(float(t))
+
+
+def _same_expression(a: str, b: str) -> bool:
+    """Whether two expressions have the same letters and the same values at five points; what cannot be read is not the same."""
+    try:
+        x, y = _Expression(a), _Expression(b)
+        if x.letters != y.letters:
+            return False
+        for k in range(5):
+            values = {c: complex(1.3 + 0.37 * k + 0.11 * (ord(c) % 32)) for c in x.letters}
+            u, v = x.at(values), y.at(values)
+            if not abs(u - v) <= 1e-9 * max(1.0, abs(u), abs(v)):
+                return False
+        return True
+    except (ValueError, ZeroDivisionError, OverflowError, RecursionError, TypeError):
+        return False
 
 
 def _value(s: str) -> float | None:
@@ -263,9 +412,20 @@ def _value(s: str) -> float | None:
         return None
 
 
+def _each_once(score: Callable, *sides: pd.Series) -> list:
+    """The score of every row; rows of the batch that are equal are scored once, since answers repeat."""
+    known: dict[tuple, object] = {}
+    out = []
+    for pair in zip(*sides, strict=True):
+        if pair not in known:
+            known[pair] = score(*pair)
+        out.append(known[pair])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def math_score_udf(text: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([math_score(a, b) for a, b in zip(text, truth, strict=True)], dtype="float64")
+    return pd.Series(_each_once(math_score, text, truth), dtype="float64")
 
 
 _DAPO = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("acc", T.BooleanType()), T.StructField("pred", T.StringType())])
@@ -273,12 +433,12 @@ _DAPO = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("acc
 
 @F.pandas_udf(_DAPO)
 def dapo_score_udf(text: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([dapo_score(a, b) for a, b in zip(text, truth, strict=True)], columns=["score", "acc", "pred"])
+    return pd.DataFrame(_each_once(dapo_score, text, truth), columns=["score", "acc", "pred"])
 
 
 @F.pandas_udf(T.BooleanType())
 def answers_equal_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([answers_equal(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+    return pd.Series(_each_once(answers_equal, a, b), dtype="bool")
 
 
 def geo_score(text: str | None, truth: str | None) -> float:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators.grouping import with_group_stats
+from tracewright.operators.ranks import kth
+from tracewright.session import materialize
 
 STEP_LIMIT, TOKEN_LIMIT = "STEP_LIMIT_REACHED", "TOKEN_LIMIT_EXCEEDED"
 # Error codes of the environment itself.
@@ -95,8 +97,18 @@ def ranked_trajectories(steps: DataFrame, n: int, which: str = "top", traj: str
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in seeded hash order of the key: the reproducible sample."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """``n`` rows in seeded hash order of the key: the reproducible sample.
+
+    The hash of rank ``n`` is found by counting in ranges; rows of a smaller one are in, and of those that share it as many, in order of the
+    key, as are left. So one task holds the rows of a single hash at most.
+    """
+    h = F.xxhash64(key, F.lit(seed))
+    at = kth(df, [h], n)
+    if at is None:
+        return df if n > 0 else df.where(F.lit(False))
+    edge = F.lit(at[0])
+    under = df.where(h < edge)
+    return under.unionByName(df.where(h == edge).orderBy(key).limit(n - under.count()))
 
 
 def best_attempt(df: DataFrame, key: str, attempt: str, won: str, reward: str) -> DataFrame:
@@ -112,14 +124,17 @@ def first_pass(df: DataFrame, traj: str, retries: str, won: str, reward: str) ->
     return df.withColumns({"first_pass": F.when(clean, F.col(won)).otherwise(F.lit(False)), "first_pass_reward": F.when(clean, F.col(reward)).otherwise(F.lit(0.0))})
 
 
-def quota_plan(sizes: dict[str, int], classes: dict[str, dict]) -> list[dict[str, int]]:
-    """How many rows each batch takes from each bucket; the buckets' sizes are all that is needed.
+def quota_segments(sizes: dict[str, int], classes: dict[str, dict]) -> list[tuple[dict[str, int], int]]:
+    """What each batch takes from each bucket, as ``(rows per bucket, batches of that kind in a row)``.
+
+    Batches are alike until a bucket runs short, so the plan is a few segments however many batches there are. The buckets' sizes are
+    all that is needed.
 
     A class has a ``total`` per batch, ``first`` (bucket: fixed share) and up to two ``fill`` buckets that halve the rest, one
     standing in for the other. Batches end when a class has fewer rows left than a batch needs.
     """
     left = dict(sizes)
-    plan: list[dict[str, int]] = []
+    plan: list[tuple[dict[str, int], int]] = []
 
     def take(b: str, n: int) -> int:
         got = min(left.get(b, 0), max(n, 0))
@@ -142,43 +157,72 @@ def quota_plan(sizes: dict[str, int], classes: dict[str, dict]) -> list[dict[str
                     batch[b] += take(b, gap // 2 - batch[a])
                 elif batch[b] < gap - gap // 2:
                     batch[a] += take(a, gap - gap // 2 - batch[b])
-        plan.append(batch)
+        # as long as every bucket still holds what it has just given, and no more was asked of it than it had, the next batch is the same
+        more = min((left[b] // n for b, n in batch.items() if n), default=0)
+        if more and all(sum(left[b] for b in [*c.get("first", {}), *c.get("fill", [])]) >= c["total"] for c in classes.values()):
+            more = min(more, *((sum(left[b] for b in [*c.get("first", {}), *c.get("fill", [])])) // c["total"] for c in classes.values()))
+            for b, n in batch.items():
+                left[b] -= n * more
+        else:
+            more = 0
+        if plan and plan[-1][0] == batch:
+            plan[-1] = (batch, plan[-1][1] + 1 + more)
+        else:
+            plan.append((batch, 1 + more))
+        if not any(batch.values()):
+            break
     return plan
 
 
+def quota_plan(sizes: dict[str, int], classes: dict[str, dict]) -> list[dict[str, int]]:
+    """The batches of :func:`quota_segments` one by one."""
+    return [batch for batch, n in quota_segments(sizes, classes) for _ in range(n)]
+
+
 def quota_merge(df: DataFrame, bucket: str, row: str, classes: dict[str, dict], seed: int = 42) -> DataFrame:
     """``batch`` of every row that a whole batch takes, rows of a bucket in seeded hash order, shuffled within the batch by hash.
 
-    Ranks are dense per bucket; the plan of bucket counters (a few numbers a batch) is joined as ranges of ranks.
+    Ranks are dense per bucket. Within a segment of like batches a rank's batch is a quotient, so the plan is a short list a bucket.
     """
     from tracewright.operators.frame import number
 
     sizes = {r[0]: r[1] for r in df.groupBy(bucket).count().where(F.col(bucket).isin([b for c in classes.values() for b in [*c.get("first", {}), *c.get("fill", [])]])).collect()}
-    plan = quota_plan(sizes, classes)
-    spark = df.sparkSession
-    at: dict[str, int] = {}
-    ranges = []
-    for i, batch in enumerate(plan):
+    segments: dict[str, list[tuple[int, int, int, int]]] = {}
+    done = 0
+    for batch, times in quota_segments(sizes, classes):
         for b, n in batch.items():
             if n:
-                ranges.append((b, at.get(b, 0), at.get(b, 0) + n, i))
-                at[b] = at.get(b, 0) + n
-    if not ranges:
+                own = segments.setdefault(b, [])
+                lo = own[-1][1] if own else 0
+                own.append((lo, lo + n * times, n, done))
+        done += times
+    if not segments:
         return df.withColumn("batch", F.lit(None).cast("long")).where(F.lit(False))
-    h = F.xxhash64(row, F.lit(seed))
-    ranked = number(df.where(F.col(bucket).isin(list(at))).withColumn("_h", h), [bucket, "_h", row], "_n")
-    starts = ranked.groupBy(bucket).agg(F.min("_n").alias("_s"))
-    ranked = ranked.join(F.broadcast(starts), bucket).withColumn("_rank", F.col("_n") - F.col("_s"))
-    # a bucket's ranges follow one another, so a rank's batch is found by explicit ranks
-    table = spark.createDataFrame(ranges, f"`{bucket}` string, lo long, hi long, batch long").withColumn("_rank", F.explode(F.sequence("lo", F.col("hi") - 1))).drop("lo", "hi")
-    return ranked.join(table, [bucket, "_rank"]).drop("_n", "_s", "_rank", "_h")
+    # numbers are dense over the buckets in their order, so a bucket starts where those before it end
+    rows, start = [], 0
+    for b in sorted(segments, key=lambda b: b.encode()):
+        rows.append((b, start, segments[b]))
+        start += sizes[b]
+    plan = df.sparkSession.createDataFrame(rows, f"`{bucket}` string, _start long, _segs array<struct<lo: long, hi: long, n: long, first: long>>")
+    ranked = number(df.where(F.col(bucket).isin(list(segments))).withColumn("_h", F.xxhash64(row, F.lit(seed))), [bucket, "_h", row], "_n")
+    ranked = ranked.join(F.broadcast(plan), bucket).withColumn("_rank", F.col("_n") - F.col("_start"))  # one row a bucket of the plan
+    ranked = ranked.withColumn("_seg", F.get(F.filter("_segs", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"])), F.lit(0))).where("_seg IS NOT NULL")
+    return ranked.withColumn("batch", F.col("_seg.first") + F.floor((F.col("_rank") - F.col("_seg.lo")) / F.col("_seg.n")).cast("long")).drop("_n", "_h", "_start", "_segs", "_rank", "_seg")
 
 
 def all_pairs_score(df: DataFrame, group: str, value: str) -> DataFrame:
     """Each row with how many rows of its group are under it: what an all-pairs comparison counts, without the pairs."""
+    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    # equal values are counted before they are put in order, so a hot group brings its distinct values only; a group of very many is
+    # cut into ranges by value, whose sizes come first
     from pyspark.sql import Window as W
 
-    return df.withColumn("below", F.rank().over(W.partitionBy(group).orderBy(value)) - 1)
+    ranged = materialize(counts.repartitionByRange(group, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(group, "_part").agg(F.sum("_n").alias("_m"))
+    before = sizes.select(F.col(group).alias("_bg"), F.col("_part").alias("_bp"), (F.sum("_m").over(W.partitionBy(group).orderBy("_part")) - F.col("_m")).alias("_before"))
+    run = F.sum("_n").over(W.partitionBy("_part", group).orderBy(value)) - F.col("_n")
+    below = ranged.withColumn("_run", run).join(before, F.col(group).eqNullSafe(F.col("_bg")) & (F.col("_part") == F.col("_bp"))).select(F.col(group).alias("_g"), F.col(value).alias("_v"), (F.col("_before") + F.col("_run")).alias("below"))
+    return df.join(below, df[group].eqNullSafe(below["_g"]) & df[value].eqNullSafe(below["_v"])).drop("_g", "_v")
 
 
 def adjacent_pairs(df: DataFrame, row: str, score: str, fields: list[str]) -> DataFrame:

@@ -4,30 +4,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators.frame import number
 from tracewright.operators.grouping import scalar, with_group_stats
+from tracewright.operators.ranks import first_ranks, ordered
 
 
 def top_entropy_tokens(tokens: DataFrame, ratio: float, entropy: str = "entropy", order: tuple[str, ...] = ("row_id", "pos")) -> DataFrame:
     """The valid tokens of largest entropy over the whole frame: ``floor(n * ratio + 0.9999)`` of ``n``, ties by position.
 
-    Exact without a global window: the k-th largest key is found by a distributed top-k and compared with.
+    Exact without a global window: the k-th largest key is found by counting in ranges and compared with.
     """
     valid = tokens.where("mask > 0")
     k = math.floor(valid.count() * ratio + 0.9999)
-    key = F.struct((-F.col(entropy)).alias("e"), *order)
-    if k <= 0:
-        return valid.where(F.lit(False))
-    cut = _kth(valid.select(key.alias("k")), k)
-    return valid.where(key <= cut)
-
-
-def _kth(keys: DataFrame, k: int) -> Column:
-    """The k-th smallest key, by a distributed top-k."""
-    return scalar(keys.orderBy("k").limit(k).agg(F.max("k")))
+    return valid.where(first_ranks(valid, [ordered(-F.col(entropy)), *[F.col(c) for c in order]], k))
 
 
 def top_entropy_turns(turns: DataFrame, ratio: float, traj: str = "traj_uid", entropy: str = "entropy", order: str = "row_id") -> DataFrame:
@@ -56,7 +49,7 @@ def spread_groups(df: DataFrame, uid: str = "uid", metric: str = "score") -> Dat
 def accuracy_band(df: DataFrame, uid: str, score: str, lo: float, hi: float, oversample: int = 1, length: str | None = None, max_length: int | None = None) -> DataFrame:
     """Groups kept first by passing (mean score in the band, no row at the length limit), then by group key: one in ``oversample`` groups.
 
-    Groups are ranked on their own small table; the choice is ordered by (passes, key).
+    Groups are numbered by ranges on a table of their own; the choice is ordered by (passes, key).
     """
     stats = {"_m": F.avg(score)} | ({"_x": F.max(length)} if length else {})
     per = df.groupBy(uid).agg(*[c.alias(n) for n, c in stats.items()])
@@ -65,8 +58,7 @@ def accuracy_band(df: DataFrame, uid: str, score: str, lo: float, hi: float, ove
         ok = ok & (F.col("_x") < max_length)
     per = per.select(uid, (~ok).alias("late"))
     n = per.count() // oversample
-    cut = scalar(per.select(F.struct("late", uid).alias("k")).orderBy("k").limit(max(n, 0)).agg(F.max("k")))
-    kept = per.where(F.struct("late", uid) <= cut).select(uid)
+    kept = number(per, ["late", uid], "_rank").where(F.col("_rank") < n).select(uid)
     return df.join(kept, uid, "left_semi")
 
 

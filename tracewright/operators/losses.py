@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.operators.grouping import scalar, with_group_stats
+from tracewright.operators.ranks import first_ranks, ordered
 
 SAFE = 20.0
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
@@ -170,14 +171,13 @@ def _covariance(df: DataFrame) -> DataFrame:
 def clip_cov_loss(df: DataFrame, ratio: float = 0.0002, low: float = 0.2, high: float = 0.2, lb: float = 1.0, ub: float = 5.0, order: tuple[str, ...] = ("row_id", "pos"), seed: int = 1) -> DataFrame:
     """Tokens of a seeded random part of the covariance band drop out of the clipped loss.
 
-    The part is ``max(1, int(ratio * valid tokens))`` tokens, taken by hash order; the threshold hash is found by a top-k.
+    The part is ``max(1, int(ratio * valid tokens))`` tokens, taken by hash order; the threshold hash is found by counting in ranges.
     """
     a, m = F.col("adv"), F.col("mask")
     d = _covariance(df).withColumn("_r", F.exp(F.col("lp") - F.col("old_lp"))).withColumn("_l1", -a * F.col("_r")).withColumn("_l2", -a * clamp(F.col("_r"), 1 - low, 1 + high))
     d = d.withColumn("_h", F.xxhash64(*order, F.lit(seed))).withColumn("_in", (F.col("_cov") < ub) & (F.col("_cov") > lb) & (m > 0) & ~(F.col("_l2") > F.col("_l1")))
     n = max(1, int(ratio * (df.agg(F.sum("mask")).first()[0] or 0)))
-    cut = scalar(d.where("_in").select("_h").orderBy("_h").limit(n).agg(F.max("_h")))
-    d = d.withColumn("_drop", F.coalesce(F.col("_in") & (F.col("_h") <= cut), F.lit(False)))
+    d = d.withColumn("_drop", F.coalesce(F.col("_in") & first_ranks(d.where("_in"), [F.col("_h")], n), F.lit(False)))
     loss = F.when(F.col("_drop"), 0.0).otherwise(F.greatest("_l1", "_l2"))
     return d.agg(mmean(loss, m).alias("loss"), mmean(F.col("_drop").cast("double"), m).alias("clipfrac"), mmean(F.col("old_lp") - F.col("lp"), m).alias("ppo_kl"))
 
@@ -189,10 +189,9 @@ def kl_cov_loss(df: DataFrame, ratio: float = 0.0002, coef: float = 1.0, order:
     valid = df.where(m > 0)
     n = max(1, int(valid.count() * ratio))
     d = _covariance(df)
-    key = F.struct((-F.col("_cov")).alias("c"), *order)
-    cut = scalar(d.where(m > 0).select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k")))
+    top = first_ranks(d.where(m > 0), [ordered(-F.col("_cov")), *[F.col(c) for c in order]], n)
     nk = F.col("lp") - F.col("old_lp")
-    loss = -a * F.exp(nk) + F.when((m > 0) & (key <= cut), coef * F.abs(nk)).otherwise(0.0)
+    loss = -a * F.exp(nk) + F.when((m > 0) & top, coef * F.abs(nk)).otherwise(0.0)
     return d.agg(mmean(loss, m).alias("loss"), mmean(F.abs(nk), m).alias("ppo_kl"))
 
 

@@ -8,22 +8,28 @@ Null validity counts as valid, a null or blank error code as none. Empty logs gi
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators.ranks import quantile
+from tracewright.session import materialize
+
 STEP_FIELDS = ["run_id", "question_id", "action_type", "output", "step_reward", "episode_reward", "generation_seconds", "env_step_seconds", "step_wall_seconds", "video", "question_type", "won", "valid", "error_code", "duration"]
 
 
 def canonical_steps(steps: DataFrame) -> DataFrame:
     """``(traj_id, cur_step, ...)``: each step of a trajectory once, the first delivered; steps count from 0.
 
-    Every field is an aggregate of its own, so that fields which a report does not use are neither read nor shuffled.
+    The deliveries of a step are numbered by one window over its key: one shuffle and one sort, and fields which a report does not use
+    are neither read nor shuffled. Of deliveries at the same time any one counts.
     """
     x = F.col("extra_info")
     nested = {"video": "video", "question_type": "question_type", "won": "won", "valid": "is_action_valid", "error_code": "error_code", "duration": "duration_seconds"}
     flat = steps.where(F.col("traj_id").isNotNull() & F.col("step").isNotNull()).select(
         "traj_id", (F.col("step") - 1).alias("cur_step"), "ingested_at", *[x[nested[f]].alias(f) if f in nested else F.col(f) for f in STEP_FIELDS]
     )
-    return flat.groupBy("traj_id", "cur_step").agg(*[F.min_by(f, "ingested_at").alias(f) for f in STEP_FIELDS])
+    delivery = F.row_number().over(W.partitionBy("traj_id", "cur_step").orderBy("ingested_at"))
+    return flat.withColumn("_delivery", delivery).where("_delivery = 1").drop("_delivery", "ingested_at")
 
 
 def has_error() -> Column:
@@ -51,7 +57,7 @@ def share(cond: Column) -> Column:
 
 def traj_report(steps: DataFrame) -> DataFrame:
     """One row: accuracy, mean reward, validity with and without step-limited trajectories, accuracy of valid ones, step statistics, coverage."""
-    t = trajectories(steps)
+    t = materialize(trajectories(steps), "trajectories")
     limited = F.coalesce(F.col("final_error") == "STEP_LIMIT_REACHED", F.lit(False))
     stats = t.agg(F.avg("n_steps").alias("m"), F.coalesce(F.stddev_samp("n_steps"), F.lit(0.0)).alias("s"))
     bound = stats.select(F.col("m") + F.col("s")).scalar()
@@ -65,7 +71,7 @@ def traj_report(steps: DataFrame) -> DataFrame:
 
 def step_buckets(steps: DataFrame) -> DataFrame:
     """Per number of steps: trajectories, wins, accuracy, share, valid last steps, mean reward."""
-    t = trajectories(steps)
+    t = materialize(trajectories(steps), "trajectories")
     total = t.agg(F.count(F.lit(1)).cast("double")).scalar()
     return t.groupBy("n_steps").agg(F.count(F.lit(1)).alias("trajectories"), F.count_if("won").alias("wins"), share(F.col("won")).alias("accuracy"), F.count_if("valid_last").alias("valid_last"), F.avg("reward").alias("avg_reward")).withColumn("share", F.col("trajectories") / total)
 
@@ -206,10 +212,10 @@ def run_totals(steps: DataFrame) -> DataFrame:
 
 
 def size_stats(df: DataFrame, col: str, limit: int) -> DataFrame:
-    """Min, truncated mean and median, three largest values, share over the limit."""
+    """Min, truncated mean and median, three largest values, share over the limit. The median is found by ranks, not by one sorted column."""
     c = F.col(col).cast("double")
     top = df.select(c.alias("c")).where("c IS NOT NULL").orderBy(F.desc("c")).limit(3).agg(F.sort_array(F.collect_list("c"), False)).scalar()
-    out = df.agg(F.min(c).alias("least"), F.max(c).alias("largest"), F.floor(F.avg(c)).alias("mean"), F.floor(F.median(c)).alias("median"), share(c > limit).alias("over_limit"))
+    out = df.agg(F.min(c).alias("least"), F.max(c).alias("largest"), F.floor(F.avg(c)).alias("mean"), F.floor(F.lit(quantile(df, col, 0.5))).cast("long").alias("median"), share(c > limit).alias("over_limit"))
     return out.withColumn("top", top).select("least", "largest", "mean", "median", "over_limit", *[F.get("top", F.lit(i)).alias(f"top{i + 1}") for i in range(3)])
 
 
@@ -299,7 +305,8 @@ def action_metrics(steps: DataFrame) -> DataFrame:
     """One row: share of steps with an error, of valid actions, of final steps that are valid; linear p95 of wall time over known values."""
     t = trajectories(steps)
     final = t.agg(share(F.col("valid_last"))).scalar()
-    return steps.agg(share(has_error()).alias("error_ratio"), share(F.coalesce("valid", F.lit(True))).alias("valid_ratio"), F.percentile("step_wall_seconds", F.lit(0.95)).alias("wall_p95"), F.avg("step_wall_seconds").alias("wall_mean")).withColumn("final_valid_ratio", final)
+    steps = steps.select("error_code", "valid", "step_wall_seconds")
+    return steps.agg(share(has_error()).alias("error_ratio"), share(F.coalesce("valid", F.lit(True))).alias("valid_ratio"), F.lit(quantile(steps, "step_wall_seconds", 0.95)).cast("double").alias("wall_p95"), F.avg("step_wall_seconds").alias("wall_mean")).withColumn("final_valid_ratio", final)
 
 
 def nearest_rank(values: Column, p: float) -> Column:

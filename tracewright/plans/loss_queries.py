@@ -244,8 +244,8 @@ def q_pair_accuracy(spark, d):
     return L.pair_accuracy(s, "g", "x", "y").select(r6("accuracy"), "pairs")
 
 
-@query("logits_stats", """WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:8]] AS v, label FROM embeddings), z AS (SELECT *, list_max(v) AS m, list_sum([exp(x - list_max(v)) FOR x IN v]) AS s FROM e)
- SELECT vec_id, round(ln(s) + m - list_sum([x * exp(x - m) / s FOR x IN v]), 6) AS entropy, round(v[1 + label % 8] - m - ln(s), 6) AS logprob FROM z""")
+@query("logits_stats", """WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v, label FROM embeddings), z AS (SELECT *, list_max(v) AS m, list_sum([exp(x - list_max(v)) FOR x IN v]) AS s FROM e)
+ SELECT vec_id, round(ln(s) + m - list_sum([x * exp(x - m) / s FOR x IN v]), 6) AS entropy, round(v[1 + label % len(v)] - m - ln(s), 6) AS logprob FROM z""")
 def q_logits(spark, d):
     from tracewright.session import table
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.operators import reports as R
+from tracewright.operators.ranks import quantile
 from tracewright.plans.registry import query
 from tracewright.plans.views import TOKENS_SQL, r6, token_rows
-from tracewright.session import table
+from tracewright.session import materialize, table
 
 STEPS_SQL = """st AS (SELECT * EXCLUDE rn FROM (SELECT traj_id, step - 1 AS cur_step, run_id, question_id, action_type, output, step_reward, episode_reward, generation_seconds, env_step_seconds, step_wall_seconds,
  extra_info.video AS video, extra_info.question_type AS question_type, extra_info.won AS won, extra_info.is_action_valid AS valid, extra_info.error_code AS error_code, extra_info.duration_seconds AS duration,
@@ -66,8 +67,9 @@ def evidence(spark, d):
 @query("evidence_summary", f"WITH {STEPS_SQL}{_EV} SELECT " + _sel({"frames_mean": "avg(frames)", "frames_median": "median(frames)", "clip_mean": "avg(clip)", "clip_median": "median(clip)", "audio_mean": "avg(audio)", "audio_max": "max(audio)",
     "frames_p90": "(SELECT x[1 + CAST(round_even(0.9 * (len(x) - 1), 0) AS INT)] FROM (SELECT list(frames ORDER BY frames) AS x FROM ev))"}) + " FROM ev")
 def evidence_summary(spark, d):
-    e = R.evidence(steps(spark, d))
-    return _round(e.agg(F.avg("frames").alias("frames_mean"), F.median("frames").alias("frames_median"), F.avg("clip").alias("clip_mean"), F.median("clip").alias("clip_median"), F.avg("audio").alias("audio_mean"), F.max("audio").alias("audio_max")).withColumn("frames_p90", R.nearest_rank_of(e, "frames", 0.9).scalar()))
+    e = materialize(R.evidence(steps(spark, d)), "evidence")
+    middle = {c: F.lit(quantile(e, c, 0.5)).cast("double") for c in ("frames", "clip")}
+    return _round(e.agg(F.avg("frames").alias("frames_mean"), middle["frames"].alias("frames_median"), F.avg("clip").alias("clip_mean"), middle["clip"].alias("clip_median"), F.avg("audio").alias("audio_mean"), F.max("audio").alias("audio_max")).withColumn("frames_p90", R.nearest_rank_of(e, "frames", 0.9).scalar()))
 
 
 @query("first_invalid_steps", f"WITH {TRAJ_SQL} SELECT first_invalid, count(*) AS trajectories FROM tr WHERE NOT all_valid GROUP BY 1")
@@ -95,7 +97,7 @@ def duration_buckets(spark, d):
     return _round(R.duration_buckets(steps(spark, d)), "bucket", "trajectories")
 
 
-@query("step_report", f"WITH {TRAJ_SQL} SELECT count(*) AS n_steps, count(*) FILTER ({OK}) AS valid, count(*) FILTER (NOT {OK}) AS invalid, count(*) FILTER (won) AS won, (SELECT count(*) FROM tr WHERE NOT won AND final_error = 'STEP_LIMIT_REACHED') AS failed_at_limit FROM st WHERE cur_step < 12")
+@query("step_report", f"WITH {TRAJ_SQL} SELECT count(*) AS n_steps, count(*) FILTER ({OK}) AS valid, count(*) FILTER (NOT {OK}) AS invalid, count(*) FILTER (won) AS won, (SELECT count(*) FROM tr WHERE NOT won AND final_error = 'STEP_LIMIT_REACHED') AS failed_at_limit FROM st")
 def step_report(spark, d):
     return R.step_report(steps(spark, d))
 
@@ -144,7 +146,10 @@ def _three(spark, d):
     return _best(episodes(spark, d).where(F.col("run_id").isin("r00-amber", "r01-birch", "r02-cedar")))
 
 
-@query("union_accuracy", f"{_RES}, n AS (SELECT count(DISTINCT run_id) AS n FROM q), g AS (SELECT question_id, bool_or(r >= 0.5) AS a, count(DISTINCT run_id) AS c, count(DISTINCT CASE WHEN r >= 0.5 THEN run_id END) AS o FROM q GROUP BY 1) SELECT " + _sel({
+_ALL_RUNS = f"WITH {_EP}, q AS (SELECT run_id, question_id, max(total_reward) AS r FROM ep WHERE run_id IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("union_accuracy", f"{_ALL_RUNS}, n AS (SELECT count(DISTINCT run_id) AS n FROM q), g AS (SELECT question_id, bool_or(r >= 0.5) AS a, count(DISTINCT run_id) AS c, count(DISTINCT CASE WHEN r >= 0.5 THEN run_id END) AS o FROM q GROUP BY 1) SELECT " + _sel({
     "questions": "count(*)", "correct_any": "count(*) FILTER (a)", "union_accuracy": _S("a"), "in_every": "count(*) FILTER (c = n)", "correct_every": "count(*) FILTER (o = n)", "all_correct_ratio": "count(*) FILTER (o = n) / nullif(count(*) FILTER (c = n), 0)",
     "inconsistent_rate": "(count(*) FILTER (c = n) - count(*) FILTER (o = n)) / nullif(count(*) FILTER (c = n), 0)"}) + " FROM g, n")
 def union_accuracy(spark, d):

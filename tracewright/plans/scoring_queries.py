@@ -30,10 +30,13 @@ def gsm8k_flexible(spark, d):
     return _gsm(spark, d).select("k", "n", "p", S.gsm8k_answer(F.col("t"), flexible=True).alias("answer"))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+# words are letters, digits and _ of any script, white space is of any kind; two passes, since neighbouring articles share a separator
+_PLAIN = r"' ' || regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g') || ' '"
+_ARTICLE = r"regexp_replace({0}, '([^\p{{L}}\p{{N}}_])(?:a|an|the)([^\p{{L}}\p{{N}}_])', '\1 \2', 'g')"
+_NORM = (r"trim(regexp_replace({0}, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))".format(_ARTICLE.format(_ARTICLE.format(_PLAIN.format("question")))))
 
 
-@query("qa_normal", f"SELECT eval_id, {_NORM.format('question')} AS norm FROM example_eval WHERE question IS NOT NULL AND regexp_matches(question, '^[ -~]*$')")
+@query("qa_normal", f"SELECT eval_id, {_NORM} AS norm FROM example_eval WHERE question IS NOT NULL")
 def qa_normal(spark, d):
     return table(spark, d, "example_eval").where("question IS NOT NULL").select("eval_id", S.qa_normal(F.col("question")).alias("norm"))
 
@@ -74,7 +77,14 @@ def mra(spark, d):
     return o.select(F.col("o_orderkey").alias("k"), S.mean_relative_accuracy(F.col("o_totalprice") / 100003.7, (F.col("o_custkey") % 50) / 10.0 + 0.3).alias("score"))
 
 
-@query("span_parse", "WITH a AS (SELECT row_id, answer FROM example_train_rl WHERE regexp_matches(answer, '^\\s*\\[\\s*\\[[^{}()]*\\]\\s*\\]\\s*$') AND json_valid(answer)), s AS (SELECT row_id, json_transform(answer, '[[\"DOUBLE\"]]') AS s FROM a) SELECT row_id, len(s) AS n, round(list_sum([x[2] - x[1] FOR x IN s]), 6) AS seconds FROM s")
+_SPANS = r"""WITH a AS (SELECT row_id, answer FROM example_train_rl WHERE answer IS NOT NULL AND json_valid(answer)),
+ f AS (SELECT row_id, CASE WHEN regexp_matches(answer, '^\s*\[\s*\]\s*$') THEN 'none' WHEN regexp_matches(answer, '^\s*\[\s*\{') THEN 'objects' WHEN regexp_matches(answer, '^\s*\[\s*\[') THEN 'pairs' WHEN regexp_matches(answer, '^\s*\[\s*[-0-9]') THEN 'flat' END AS form, answer FROM a),
+ p AS (SELECT row_id, form, CASE form WHEN 'none' THEN []::DOUBLE[][] WHEN 'pairs' THEN json_transform(CASE WHEN form = 'pairs' THEN answer END, '[["DOUBLE"]]') WHEN 'flat' THEN [json_transform(CASE WHEN form = 'flat' THEN answer END, '["DOUBLE"]')]
+  WHEN 'objects' THEN [[o.start, o."end"] FOR o IN json_transform(CASE WHEN form = 'objects' THEN answer END, '[{"start": "DOUBLE", "end": "DOUBLE"}]')] END AS s FROM f WHERE form IS NOT NULL)
+ SELECT row_id, len(s) AS n, round(coalesce(list_sum([x[2] - x[1] FOR x IN s]), 0), 6) AS seconds FROM p WHERE s IS NOT NULL AND len([x FOR x IN s IF len(x) <> 2 OR x[1] IS NULL OR x[2] IS NULL]) = 0"""
+
+
+@query("span_parse", _SPANS)
 def span_parse(spark, d):
     t = table(spark, d, "example_train_rl").select("row_id", S.parse_spans(F.col("answer")).alias("s")).where("s IS NOT NULL")
     return t.select("row_id", F.size("s").cast("long").alias("n"), r6(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["e"] - x["s"]), "seconds"))
@@ -117,7 +127,7 @@ def chat_transcript(spark, d):
     return table(spark, d, "example_train_rl").where("prompt IS NOT NULL").select("row_id", S.transcript(F.col("prompt")).alias("t"))
 
 
-@query("eos_masks", "WITH e AS (SELECT vec_id, [CAST(floor(abs(x) * 40) AS INT) FOR x IN embedding[1:16]] AS v FROM embeddings), p AS (SELECT vec_id, v, list_position([x IN (7, 9) FOR x IN v], true) AS p FROM e) SELECT vec_id, [CASE WHEN coalesce(p, 0) = 0 OR i + 1 <= p THEN 1 ELSE 0 END FOR i IN range(len(v))] AS mask FROM p")
+@query("eos_masks", "WITH e AS (SELECT vec_id, [CAST(floor(abs(x) * 40) AS INT) FOR x IN embedding] AS v FROM embeddings), p AS (SELECT vec_id, v, list_position([x IN (7, 9) FOR x IN v], true) AS p FROM e) SELECT vec_id, [CASE WHEN coalesce(p, 0) = 0 OR i + 1 <= p THEN 1 ELSE 0 END FOR i IN range(len(v))] AS mask FROM p")
 def eos_masks(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x) * 40).cast("int")).alias("v"))
     return e.select("vec_id", S.eos_mask(F.col("v"), [7, 9]).alias("mask"))
@@ -169,24 +179,39 @@ def json_clean(spark, d):
     return steps(spark, d).select("traj_id", "cur_step", P.clean_json(F.col("output")).alias("json"))
 
 
+_BOX = """WITH b AS (SELECT l_orderkey AS k, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) + CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE 0 END AS t FROM lineitem),
+ x AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'thus \\boxed{\\frac{' || q || '}{4}}' WHEN 1 THEN 'so \\boxed{x=' || q || '\\%}' ELSE 'Answer: $' || q || '$ dollars' END AS text, CASE WHEN l_linenumber % 3 = 0 THEN t || '/4' ELSE t::VARCHAR END AS truth FROM b)"""
+
+
 def _boxed(spark, d):
-    q = F.col("l_quantity").cast("int").cast("string")
+    """Answers in boxes and on answer lines; the truth of every fourth part is another number."""
+    n = F.col("l_quantity").cast("int")
+    q, t = n.cast("string"), (n + F.when(F.col("l_partkey") % 4 == 0, 1).otherwise(0)).cast("string")
     form = F.col("l_linenumber") % 3
     text = F.when(form == 0, F.concat(F.lit("thus \\boxed{\\frac{"), q, F.lit("}{4}}"))).when(form == 1, F.concat(F.lit("so \\boxed{x="), q, F.lit("\\%}"))).otherwise(F.concat(F.lit("Answer: $"), q, F.lit("$ dollars")))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", text.alias("text"), F.when(form == 0, F.concat(q, F.lit("/4"))).otherwise(q).alias("truth"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", text.alias("text"), F.when(form == 0, F.concat(t, F.lit("/4"))).otherwise(t).alias("truth"), q.alias("q"), t.alias("t"), form.alias("form"))
+
+
+_INNER = r"regexp_replace(regexp_replace(replace(regexp_extract(text, '\\boxed\{(.*)\}$', 1), '\%', ''), '^[a-z]=', ''), '\\frac\{(\d+)\}\{(\d+)\}', '\1/\2')"
 
 
-@query("math_equiv", "SELECT l_orderkey AS k, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM lineitem")
+@query("math_equiv", f"{_BOX} SELECT k, l_linenumber, l_partkey, CASE WHEN {_INNER} <> '' AND {_INNER} = truth THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM x")
 def math_equiv(spark, d):
     return _boxed(spark, d).select("k", "l_linenumber", "l_partkey", P.math_score_udf("text", "truth").alias("score"))
 
 
-@query("dapo_score", "SELECT l_orderkey AS k, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 2 THEN 1.0 ELSE -1.0 END::DOUBLE AS score, l_linenumber % 3 = 2 AS acc FROM lineitem")
+@query("dapo_score", f"{_BOX}, p AS (SELECT *, regexp_extract(text, 'Answer:\\s*\\$(\\d+)\\$', 1) = truth AS acc FROM x) SELECT k, l_linenumber, l_partkey, CASE WHEN acc THEN 1.0 ELSE -1.0 END::DOUBLE AS score, acc FROM p")
 def dapo(spark, d):
     return _boxed(spark, d).select("k", "l_linenumber", "l_partkey", P.dapo_score_udf("text", "truth").alias("r")).select("k", "l_linenumber", "l_partkey", "r.score", "r.acc")
 
 
-@query("answers_equal", "SELECT l_orderkey AS k, l_linenumber, l_partkey, true AS same FROM lineitem")
+@query("answers_equal", f"""{_BOX}, y AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN l_partkey % 4 = 1 THEN '\\frac{{' || 2 * q || '}}{{8}}' ELSE ' \\frac{{' || q || '}}{{4}}.' END WHEN 1 THEN q || '.0' ELSE '(' || q || ', 3)' END AS given,
+ CASE WHEN l_linenumber % 3 = 2 THEN '(' || t || ',3)' ELSE truth END AS want FROM x)
+ SELECT k, l_linenumber, l_partkey, [z::DOUBLE FOR z IN regexp_extract_all(given, '\\d+(?:\\.\\d+)?')] = [z::DOUBLE FOR z IN regexp_extract_all(want, '\\d+(?:\\.\\d+)?')] AS same FROM y""")
 def answers_equal(spark, d):
     b = _boxed(spark, d)
-    return b.select("k", "l_linenumber", "l_partkey", P.answers_equal_udf("truth", F.concat(F.lit(" "), "truth", F.lit("."))).alias("same"))
+    double = (F.col("q").cast("int") * 2).cast("string")
+    frac = F.when(F.col("l_partkey") % 4 == 1, F.concat(F.lit("\\frac{"), double, F.lit("}{8}"))).otherwise(F.concat(F.lit(" \\frac{"), "q", F.lit("}{4}.")))
+    given = F.when(F.col("form") == 0, frac).when(F.col("form") == 1, F.concat("q", F.lit(".0"))).otherwise(F.concat(F.lit("("), "q", F.lit(", 3)")))
+    want = F.when(F.col("form") == 2, F.concat(F.lit("("), "t", F.lit(",3)"))).otherwise(F.col("truth"))
+    return b.select("k", "l_linenumber", "l_partkey", P.answers_equal_udf(given, want).alias("same"))

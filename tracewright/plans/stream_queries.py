@@ -55,7 +55,7 @@ def responses(spark, d):
     return io.responses_table(o, "k", "o", "r", [])
 
 
-@query("task_and_step", "WITH v AS (SELECT row_id, str_split(video, '/') AS p FROM example_train_rl WHERE video IS NOT NULL), n AS (SELECT *, nullif(regexp_extract(p[-1], '(\\d+)[^\\d]*$', 1), '') AS s FROM v) SELECT row_id, CASE WHEN len(p) > 1 THEN p[-2] END AS task, s::BIGINT AS step FROM n WHERE coalesce(len(s), 0) < 18")
+@query("task_and_step", "WITH v AS (SELECT row_id, str_split(video, '/') AS p FROM example_train_rl WHERE video IS NOT NULL), n AS (SELECT *, nullif(regexp_extract(p[-1], '(\\d+)[^\\d]*$', 1), '') AS s FROM v) SELECT row_id, CASE WHEN len(p) > 1 THEN p[-2] END AS task, TRY_CAST(s AS BIGINT) AS step FROM n")
 def task_and_step(spark, d):
     t = table(spark, d, "example_train_rl").where("video IS NOT NULL")
     return t.select("row_id", io.task_and_step(F.col("video")).alias("x")).select("row_id", "x.task", "x.step")

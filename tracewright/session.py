@@ -26,11 +26,14 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made once and kept for the session.
+    Where the setting is absent a temporary folder is made once and kept for the session, but only with a local master, where one
+    machine is all there is. On a cluster every executor would write to a disk of its own, so that is an error.
     """
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="tracewright-")
         sc.setCheckpointDir(set_dir)
     elif not sc.getCheckpointDir():
@@ -38,12 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _WRITTEN: list[str] = []
 
 

@@ -33,32 +33,49 @@ def step_rule(state: tuple[int, float, int, bool], valid: bool, reward: float, a
 
 
 class TrajectoryState(StatefulProcessor):
-    """Stream form, keyed by trajectory; rows of a batch are taken in order of their step."""
+    """Stream form, keyed by trajectory; the rows of a batch are taken in order of their step, over all their Arrow batches.
 
-    def __init__(self, max_steps: int = 52, max_retries: int = 3):
-        self.max_steps, self.max_retries = max_steps, max_retries
+    A finished trajectory is remembered for ``keep_done`` of processing time, in which later steps of it are rejected;
+    then its state is cleared, so that state does not grow with the trajectories that have been.
+    """
+
+    def __init__(self, max_steps: int = 52, max_retries: int = 3, keep_done: int = 24 * 3600 * 1000):
+        self.max_steps, self.max_retries, self.keep_done = max_steps, max_retries, keep_done
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "steps long, reward double, retries long, done boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else (0, 0.0, 0, False)
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values("cur_step").itertuples():
-                *new, reason = step_rule(state, bool(r.valid), float(r.reward or 0.0), bool(r.answer), self.max_steps, self.max_retries)
-                state = tuple(new)
-                out.append((key[0], state[0], state[1], state[2], state[3], reason))
-            self.state.update(state)
-            yield pd.DataFrame(out, columns=["traj_id", "cur_step", "reward", "retries", "done", "reason"])
+        was_done = state[3]
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("cur_step", kind="stable")
+        out = []
+        for valid, reward, answer in zip(batch["valid"], batch["reward"], batch["answer"], strict=True):
+            *new, reason = step_rule(state, valid is None or pd.isna(valid) or bool(valid), 0.0 if reward is None or pd.isna(reward) else float(reward), not (answer is None or pd.isna(answer)) and bool(answer), self.max_steps, self.max_retries)
+            state = tuple(new)
+            out.append((key[0], *state, reason))
+        self.state.update(state)
+        if state[3] and not was_done:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_done)
+        yield pd.DataFrame(out, columns=["traj_id", "cur_step", "reward", "retries", "done", "reason"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """The mark of a finished trajectory ends."""
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_states(steps: DataFrame, max_steps: int = 52, max_retries: int = 3) -> DataFrame:
-    """A streaming frame ``(traj_id, cur_step, valid, reward, answer)`` to its states; state outlives batches and restarts."""
-    return steps.groupBy("traj_id").transformWithStateInPandas(statefulProcessor=TrajectoryState(max_steps, max_retries), outputStructType=STATE, outputMode="Append", timeMode="None")
+def stream_states(steps: DataFrame, max_steps: int = 52, max_retries: int = 3, keep_done: int = 24 * 3600 * 1000) -> DataFrame:
+    """A streaming frame ``(traj_id, cur_step, valid, reward, answer)`` to its states; state outlives batches and restarts.
+
+    ``keep_done`` is how long, in milliseconds of processing time, a finished trajectory is remembered.
+    """
+    own = TrajectoryState(max_steps, max_retries, keep_done)
+    return steps.groupBy("traj_id").transformWithStateInPandas(statefulProcessor=own, outputStructType=STATE, outputMode="Append", timeMode="ProcessingTime")
 
 
 def replay(steps: DataFrame, max_steps: int = 52, max_retries: int = 3) -> DataFrame:
