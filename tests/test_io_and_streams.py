@@ -64,6 +64,38 @@ def test_stream_equals_replay(spark, tmp_path):
     assert last == {"a": (3, 3.0, 1, True, "ANSWER"), "b": (2, 0.0, 2, True, "RETRIES_EXCEEDED")}
 
 
+def test_state_is_ordered_over_arrow_batches_and_cleared():
+    """Two Arrow batches of one key whose steps interleave, and the end of a finished trajectory's memory."""
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    timers, value = [], Value()
+    handle = type("Handle", (), {"getValueState": lambda self, *a: value, "registerTimer": lambda self, t: timers.append(t)})()
+    now = type("Now", (), {"getCurrentProcessingTimeInMs": lambda self: 1000})()
+    p = K.TrajectoryState(10, 0, keep_done=500)
+    p.init(handle)
+    step = lambda *rows: pd.DataFrame(rows, columns=["cur_step", "valid", "reward", "answer"])
+    got = pd.concat(p.handleInputRows(("t",), iter([step((2, False, 5.0, False), (0, True, 1.0, False)), step((1, None, None, None), (3, True, 9.0, True))]), now))
+    assert got["reason"].tolist() == [None, None, "RETRIES_EXCEEDED", "ENV_ALREADY_DONE"] and got["reward"].tolist() == [1.0] * 4
+    assert timers == [1500] and value.exists()
+    assert list(p.handleExpiredTimer(("t",), now, None)) == [] and not value.exists()
+
+
 def test_pool_and_quota():
     rounds = K.alive_pool([2, 1, 0], 2)
     assert rounds == [[0, 1], [0]]

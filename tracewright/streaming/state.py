@@ -35,11 +35,12 @@ def step_rule(state: tuple[int, float, int, bool], valid: bool, reward: float, a
 class TrajectoryState(StatefulProcessor):
     """Stream form, keyed by trajectory; the rows of a batch are taken in order of their step, over all their Arrow batches.
 
-    A finished trajectory is remembered for ``keep_done`` of processing time, in which later steps of it are rejected;
-    then its state is cleared, so that state does not grow with the trajectories that have been.
+    With ``keep_done`` (milliseconds of processing time) a finished trajectory is remembered for that long, in which later steps of it
+    are rejected; then its state is cleared, so that state does not grow with the trajectories that have been. Without it
+    finished trajectories are remembered for good, which is for streams that end.
     """
 
-    def __init__(self, max_steps: int = 52, max_retries: int = 3, keep_done: int = 24 * 3600 * 1000):
+    def __init__(self, max_steps: int = 52, max_retries: int = 3, keep_done: int | None = None):
         self.max_steps, self.max_retries, self.keep_done = max_steps, max_retries, keep_done
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,7 +57,7 @@ class TrajectoryState(StatefulProcessor):
             state = tuple(new)
             out.append((key[0], *state, reason))
         self.state.update(state)
-        if state[3] and not was_done:
+        if state[3] and not was_done and self.keep_done is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_done)
         yield pd.DataFrame(out, columns=["traj_id", "cur_step", "reward", "retries", "done", "reason"])
 
@@ -69,13 +70,14 @@ class TrajectoryState(StatefulProcessor):
         pass
 
 
-def stream_states(steps: DataFrame, max_steps: int = 52, max_retries: int = 3, keep_done: int = 24 * 3600 * 1000) -> DataFrame:
+def stream_states(steps: DataFrame, max_steps: int = 52, max_retries: int = 3, keep_done: int | None = None) -> DataFrame:
     """A streaming frame ``(traj_id, cur_step, valid, reward, answer)`` to its states; state outlives batches and restarts.
 
-    ``keep_done`` is how long, in milliseconds of processing time, a finished trajectory is remembered.
+    ``keep_done`` is how long, in milliseconds of processing time, a finished trajectory is remembered; such a stream runs on until it is
+    stopped, since its timers are due whether rows come or not.
     """
     own = TrajectoryState(max_steps, max_retries, keep_done)
-    return steps.groupBy("traj_id").transformWithStateInPandas(statefulProcessor=own, outputStructType=STATE, outputMode="Append", timeMode="ProcessingTime")
+    return steps.groupBy("traj_id").transformWithStateInPandas(statefulProcessor=own, outputStructType=STATE, outputMode="Append", timeMode="None" if keep_done is None else "ProcessingTime")
 
 
 def replay(steps: DataFrame, max_steps: int = 52, max_retries: int = 3) -> DataFrame:
