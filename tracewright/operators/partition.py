@@ -152,23 +152,30 @@ def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, pred
 
     A prompt's responses are one row (a group is the samples of one prompt); the majority goes to the vote seen first in a draw.
     """
-    item = [F.col(order).alias("o"), F.col(value).cast("double").alias("v")] + ([F.col(pred).alias("p")] if pred else [])
+    item = [F.col(order).alias("o"), F.col(value).cast("double").alias("v")] + ([F.col(pred).cast("string").alias("p")] if pred else [])
     rows = df.groupBy(source, prompt).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("r"))
+    # values and codes of the votes in the order of their first sight are made natively, as two plain arrays
+    seen = F.transform(F.transform("r", lambda x: x["p"]) if pred else F.array(), lambda p: F.coalesce(F.concat(F.lit("v"), p), F.lit("n")))
+    rows = rows.select(source, F.transform("r", lambda x: x["v"]).alias("vals"), seen.alias("seen"))
+    rows = rows.select(source, "vals", F.transform("seen", lambda p: (F.array_position("seen", p) - 1).cast("int")).alias("codes"))
+    # prompts are dealt out over all cores: what a prompt costs is its draws, not its bytes
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(cores)
     kind = df.schema[source].dataType.simpleString()
 
     def one(batches):
         cache: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            by_n: dict[int, list[int]] = {}
-            for i, rs in enumerate(pdf["r"]):
-                by_n.setdefault(len(rs), []).append(i)
-            for n, members in by_n.items():
+            size = pdf["vals"].map(len).to_numpy()
+            for n in np.unique(size):
+                members = np.flatnonzero(size == n)
                 for lo in range(0, len(members), 64):
                     part = pdf.iloc[members[lo : lo + 64]]
-                    vals = np.array([[x["v"] for x in rs] for rs in part["r"]])
-                    codes = np.stack([pd.factorize(np.array([x["p"] for x in rs], dtype=object), use_na_sentinel=False)[0] for rs in part["r"]]) if pred else None
-                    for name, got in _prompt_metrics(vals, codes, cache, draws, seed):
-                        yield pd.DataFrame({"source": part[source].to_numpy(), "metric": name, "value": got})
+                    vals = np.stack(part["vals"].to_numpy()).astype(float)
+                    codes = np.stack(part["codes"].to_numpy()).astype(np.int64) if pred else None
+                    named = list(_prompt_metrics(vals, codes, cache, draws, seed))
+                    k = len(part)
+                    yield pd.DataFrame({"source": np.tile(part[source].to_numpy(), len(named)), "metric": np.repeat([m for m, _ in named], k), "value": np.concatenate([v for _, v in named])})
 
     per = rows.mapInPandas(one, f"source {kind}, metric string, value double")
     return per.groupBy("source", "metric").agg(F.avg("value").alias("value"))
