@@ -41,7 +41,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of the step log after collapsing: count and duration of each run."""
-    return step_runs(table(spark, sf_dir, "steps")).select("traj_id", "first_pos", "last_pos", "n", "seconds", F.col("event.kind").alias("kind"))
+    return step_runs(table(spark, sf_dir, "steps")).select("traj_id", "first_pos", "last_pos", "n", F.round("seconds", 6).alias("seconds"), F.col("event.kind").alias("kind"))
 
 
 @_add

@@ -66,18 +66,19 @@ def _round(state: DataFrame) -> DataFrame:
 def place(groups: list[dict[str, int]], goal: dict[str, dict[str, float]], names: list[str]) -> list[str]:
     """A split for each group, given its rows per label, in the given order: the one that leaves the least squared deviation.
 
-    ``goal`` has the rows wanted per label and split. The deviation is summed over all labels of the group and that of its size.
-    Ties go to the first split.
+    ``goal`` has the rows wanted per label and split. A squared deviation is taken relative to what was wanted, so that all splits fill alike;
+    it is summed over all labels of the group and its size. Ties go to the first split.
     """
     labels = {lb: i for i, lb in enumerate(goal)}
     left = np.array([[goal[lb][s] for s in names] for lb in goal], float).reshape(len(goal), len(names))
     whole = left.sum(0)
+    per_label, per_size = 1 / np.maximum(left, 1e-9), 1 / np.maximum(whole, 1e-9)
     out = []
     for g in groups:
         at, n = np.array([labels[lb] for lb in g], np.int64), np.array(list(g.values()), float)
         size = n.sum()
         # (left - n)^2 - left^2 over the labels, and the same for the size
-        cost = (n[:, None] * (n[:, None] - 2 * left[at])).sum(0) + size * (size - 2 * whole)
+        cost = (n[:, None] * (n[:, None] - 2 * left[at]) * per_label[at]).sum(0) + size * (size - 2 * whole) * per_size
         s = int(cost.argmin())
         left[at, s] -= n
         whole[s] -= size
