@@ -286,6 +286,36 @@ def breakdown(results: DataFrame, fields: list[str], metrics: dict[str, Column])
     return out.select(field.alias("field"), value.alias("value"), *metrics)
 
 
+def eval_breakdown(results: DataFrame, fields: list[str], values: list[str], status: str = "status", correct: str = "correct", ok: str = "ok") -> DataFrame:
+    """The metrics of an evaluation by each field: ``(field, value, num_samples, num_success, num_error, success_rate, accuracy, avg_<value>...)``.
+
+    Only rows of status ``ok`` feed accuracy and means; a value that is missing counts as 0, and so does a mean without such rows. A blank field
+    value is 'UNKNOWN'. ``values`` may be as many columns as the results have (tokens, seconds, calls, percentiles a step): all are one pass.
+    """
+    good = F.coalesce(F.col(status) == ok, F.lit(False))
+    n_ok = F.count_if(good)
+    metrics = {
+        "num_samples": F.count(F.lit(1)), "num_success": n_ok, "num_error": F.count(F.lit(1)) - n_ok, "success_rate": share(good),
+        "accuracy": F.coalesce(F.count_if(good & F.coalesce(correct, F.lit(False))) / F.nullif(n_ok, F.lit(0)), F.lit(0.0)),
+    }
+    metrics |= {f"avg_{v}": F.coalesce(F.avg(F.when(good, F.coalesce(F.col(v).cast("double"), F.lit(0.0)))), F.lit(0.0)) for v in values}
+    return breakdown(results, fields, metrics)
+
+
+def episode_values(steps: DataFrame) -> DataFrame:
+    """Per trajectory what an evaluation averages of its steps: counts, seconds and calls, of all steps and of valid and invalid ones, and percentiles."""
+    times = {"generation": "generation_seconds", "env_step": "env_step_seconds", "step_wall": "step_wall_seconds"}
+    sec = {k: F.coalesce(c, F.lit(0.0)) for k, c in times.items()}
+    name = action_name(F.col("action_type"))
+    aggs = {"valid_step_count": F.count_if(is_valid()), "invalid_step_count": F.count_if(~is_valid())}
+    for k, c in sec.items():
+        aggs |= {f"total_{k}_seconds": F.sum(c), f"avg_{k}_seconds_per_step": F.avg(c), f"valid_{k}_seconds": F.sum(F.when(is_valid(), c).otherwise(0.0)), f"invalid_{k}_seconds": F.sum(F.when(~is_valid(), c).otherwise(0.0))}
+    for k in ("generation", "env_step"):
+        aggs |= {f"p{int(p * 100)}_{k}_seconds_per_step": F.percentile(sec[k], F.lit(p)) for p in (0.5, 0.9, 0.95)}
+    aggs |= {f"{c}_calls": F.count_if(name == a) for c, a in (("frame", "getframes"), ("clip", "getclip"), ("audio", "getaudio"), ("answer", "answer"))}
+    return steps.groupBy("traj_id").agg(*[c.alias(n) for n, c in aggs.items()])
+
+
 def success_by_type(steps: DataFrame) -> DataFrame:
     """Success and mean reward overall ('ALL') and per question type, over last steps."""
     t = trajectories(steps)

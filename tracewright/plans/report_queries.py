@@ -239,6 +239,29 @@ def breakdown(spark, d):
     return _round(R.breakdown(episodes(spark, d), list(_FIELDS), m), "field", "value", "n")
 
 
+_EVAL_TIMES = {"generation": "generation_seconds", "env_step": "env_step_seconds", "step_wall": "step_wall_seconds"}
+_EVAL = {"valid_step_count": f"count(*) FILTER ({OK})", "invalid_step_count": f"count(*) FILTER (NOT {OK})"}
+for _k, _c in _EVAL_TIMES.items():
+    _EVAL |= {f"total_{_k}_seconds": f"sum(coalesce({_c}, 0))", f"avg_{_k}_seconds_per_step": f"avg(coalesce({_c}, 0))", f"valid_{_k}_seconds": f"sum(CASE WHEN {OK} THEN coalesce({_c}, 0) ELSE 0 END)", f"invalid_{_k}_seconds": f"sum(CASE WHEN NOT {OK} THEN coalesce({_c}, 0) ELSE 0 END)"}
+for _k in ("generation", "env_step"):
+    _EVAL |= {f"p{p}_{_k}_seconds_per_step": f"quantile_cont(coalesce({_EVAL_TIMES[_k]}, 0), 0.{p})" for p in (50, 90, 95)}
+_EVAL |= {f"{c}_calls": f"count(*) FILTER ({_ACT.format('action_type')} = '{a}')" for c, a in (("frame", "getframes"), ("clip", "getclip"), ("audio", "getaudio"), ("answer", "answer"))}
+_EVAL_VALUES = ["total_reward", "steps", "duration", "attempts", *_EVAL]
+_EVAL_FIELDS = ("question_type", "run_id")
+_EVAL_METRICS = "count(*) AS num_samples, count(*) FILTER (status = 'ok') AS num_success, count(*) FILTER (status <> 'ok') AS num_error, " + _sel(
+    {"success_rate": _S("status = 'ok'"), "accuracy": "coalesce(count(*) FILTER (status = 'ok' AND win) / nullif(count(*) FILTER (status = 'ok'), 0), 0)", **{f"avg_{v}": f"coalesce(avg(coalesce({v}, 0)) FILTER (status = 'ok'), 0)" for v in _EVAL_VALUES}}).replace(", 6) AS", ", 9) AS")
+
+
+@query("eval_breakdown", f"WITH {_EP}, {STEPS_SQL}, v AS (SELECT traj_id, " + ", ".join(f"{x} AS {n}" for n, x in _EVAL.items()) + f" FROM st GROUP BY 1), r AS (SELECT ep.*, v.* EXCLUDE traj_id, CASE WHEN lower(trim(done)) = 'true' THEN 'ok' ELSE 'error' END AS status FROM ep LEFT JOIN v USING (traj_id)) " + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, coalesce(nullif(trim(CAST({f} AS VARCHAR)), ''), 'UNKNOWN') AS value, {_EVAL_METRICS} FROM r GROUP BY 2" for f in _EVAL_FIELDS))
+def eval_breakdown(spark, d):
+    status = F.when(F.lower(F.trim("done")) == "true", "ok").otherwise("error")
+    r = episodes(spark, d).join(R.episode_values(steps(spark, d)), "traj_id", "left").withColumn("status", status)
+    out = R.eval_breakdown(r, list(_EVAL_FIELDS), _EVAL_VALUES, correct="win")
+    whole = ("field", "value", "num_samples", "num_success", "num_error")
+    return out.select(*[c if c in whole else F.round(F.col(c).cast("double"), 9).alias(c) for c in out.columns])
+
+
 @query("success_by_type", f"WITH {TRAJ_SQL} SELECT 'ALL' AS question_type, round({_S('won')}, 6) AS success, round(avg(reward), 6) AS reward, count(*) AS n FROM tr UNION ALL SELECT coalesce(nullif(question_type, ''), 'UNKNOWN'), round({_S('won')}, 6), round(avg(reward), 6), count(*) FROM tr GROUP BY 1")
 def success_by_type(spark, d):
     return _round(R.success_by_type(steps(spark, d)), "question_type", "n")
